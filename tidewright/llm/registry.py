@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from tidewright.llm import exact_dedup, url_filter
+from tidewright.llm import decontaminate, exact_dedup, html_extract, url_filter, warc
 
 
 def queries():
     return {
+        "op1_html_extract": html_extract.op1_html_extract,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op9_warc": warc.op9_warc,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.SQL, "op10_url_filter": url_filter.SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.SQL,
+        "op7_decontaminate": decontaminate.SQL,
+        "op9_warc": warc.SQL,
+        "op10_url_filter": url_filter.SQL,
+    }
