@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidewright.llm import decontaminate, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, url_filter, warc
+from tidewright.llm import decontaminate, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, substring_dedup, url_filter, warc
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op5_quality": quality.op5_quality,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_warc": warc.op9_warc,
         "op10_url_filter": url_filter.op10_url_filter,
         "pipeline": corpus_pipeline.run,
