@@ -19,10 +19,10 @@ SQL: dict[str, str] = {}
 
 LINES = """
 p0 AS (SELECT l_suppkey AS permno, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, round(sum(l_extendedprice), 2) AS rev, round(avg(l_quantity), 8) AS qty,
-    round(avg(l_discount), 8) AS disc, round(avg(l_tax), 8) AS tax, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS mcap FROM lineitem GROUP BY 1, 2),
+    round(avg(l_discount), 8) AS disc, round(avg(l_tax), 8) AS tax, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS mcap FROM lineitem GROUP BY 1, 2),
 panel AS (SELECT *, rev / lag(rev) OVER s - 1 AS ret, round((ln(rev) - ln(lag(rev) OVER s)) / 10, 8) AS lret FROM p0 WINDOW s AS (PARTITION BY permno ORDER BY month)),
 m0 AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, round(sum(l_extendedprice), 2) AS rev, round(avg(l_quantity), 8) AS qty, round(avg(l_discount), 8) AS disc,
-    round(avg(l_tax), 8) AS tax, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS mcap, round(stddev_samp(l_quantity), 8) AS vol FROM lineitem GROUP BY 1),
+    round(avg(l_tax), 8) AS tax, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS mcap, round(stddev_samp(l_quantity), 8) AS vol FROM lineitem GROUP BY 1),
 market AS (SELECT *, round(rev / lag(rev) OVER (ORDER BY month) - 1, 8) AS returns FROM m0),
 pred AS (SELECT permno, month, lret AS y_true, round(disc - 0.05, 8) AS y_pred FROM panel WHERE lret IS NOT NULL)
 """
@@ -305,7 +305,7 @@ def normalize_clip(spark, d):
 def merge_mcap(spark, d):
     p = supplier_month(spark, d)
     r = p.filter("permno % 2 = 0").select("permno", "month", F.col("tax").alias("prc"), F.col("n").alias("shrout"), F.col("lret").alias("ret_adj"))
-    return rounded(clean.merge_returns(p.select("permno", "month", "qty", "ret", "mcap"), r, "left"))
+    return rounded(clean.merge_returns(p.select("permno", "month", "qty", "ret", "mcap"), r, "left"), skip=("ret", "qty"))
 
 
 _SPELLS = "f AS (SELECT permno, min(month) AS first FROM panel GROUP BY 1), spells AS (SELECT permno, CAST(first + to_months((permno % 6)::INT) AS DATE) AS start, CASE WHEN permno % 3 = 0 THEN NULL ELSE CAST(first + to_months((permno % 6)::INT + 24) AS DATE) END AS ending FROM f)"
@@ -478,7 +478,7 @@ def timing_metrics(spark, d):
     return m.select(*(F.round(c, 5 if c in ("sr", "ir") else 6).alias(c) for c in m.columns))
 
 
-@query(f"""WITH x AS (SELECT z, month, qty - 25 AS u, (disc - 0.05) * 100 AS v, returns AS y FROM market, (VALUES (0.01), (1.0), (100.0)) g(z) WHERE returns IS NOT NULL), {_RIDGE2.format(a="z * 12", p="PARTITION BY z ").replace("SELECT month, y, u, v,", "SELECT z, month, y, u, v,")},
+@query(f"""WITH x AS (SELECT z, month, qty - 25 AS u, (disc - 0.05) * 100 AS v, returns AS y FROM market, (VALUES (0.01::DOUBLE), (1.0::DOUBLE), (100.0::DOUBLE)) g(z) WHERE returns IS NOT NULL), {_RIDGE2.format(a="z * 12", p="PARTITION BY z ").replace("SELECT month, y, u, v,", "SELECT z, month, y, u, v,")},
     t AS (SELECT z, avg((u * bu + v * bv) * y) / stddev_samp((u * bu + v * bv) * y) * sqrt(12) AS sr FROM b GROUP BY 1) SELECT round(max(sr), 5) AS best_sr FROM t""")
 def ridge_baseline_grid(spark, d):
     x = _x(spark, d)
@@ -492,8 +492,8 @@ def _sweep_sql() -> str:
     for g in (0.5, 2.0):
         for s in (1, 2, 3):
             a, b = (float(v) for v in rff.frequencies(2, 1, g, s)[:, 0])
-            cells.append(f"({g}, {s}, {a!r}, {b!r})")
-    return f"""WITH c(gamma, seed, wa, wb) AS (VALUES {', '.join(cells)}), o AS (SELECT gamma, seed, z, month, wa * (qty - 25) + wb * ((disc - 0.05) * 100) AS angle, returns AS y FROM market, c, (VALUES (1.0), (1000.0)) g(z) WHERE returns IS NOT NULL),
+            cells.append(f"({g}::DOUBLE, {s}, {a!r}::DOUBLE, {b!r}::DOUBLE)")
+    return f"""WITH c(gamma, seed, wa, wb) AS (VALUES {', '.join(cells)}), o AS (SELECT gamma, seed, z, month, wa * (qty - 25) + wb * ((disc - 0.05) * 100) AS angle, returns AS y FROM market, c, (VALUES (1.0::DOUBLE), (1000.0::DOUBLE)) g(z) WHERE returns IS NOT NULL),
         x AS (SELECT gamma, seed, z, month, y, sin(angle) AS u, cos(angle) AS v FROM o), {_RIDGE2.format(a="z * 12", p="PARTITION BY gamma, seed, z ").replace("SELECT month, y, u, v,", "SELECT gamma, seed, z, month, y, u, v,")},
         t AS (SELECT gamma, seed, z, avg((u * bu + v * bv) * y) * 12 AS er, sqrt(avg(sqrt(bu * bu + bv * bv)) ** 2) AS norm FROM b GROUP BY ALL)
         SELECT gamma, z, round(log10(z), 6) AS log_z, round(avg(er), 7) AS expected_return, round(avg(norm), 7) AS beta_norm_mean FROM t GROUP BY 1, 2"""
@@ -551,7 +551,7 @@ def erank_gap_k2(spark, d):
     return spark.createDataFrame([(round(rank, 6), round(gap, 6))], "erank double, gap_ratio double")
 
 
-_ANGLE = "g AS (SELECT month, qty - 25 AS a, (disc - 0.05) * 1000 AS b FROM market), h AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM g WINDOW w AS (ORDER BY month)), t AS (SELECT month, acos(least(abs(a * pa + b * pb) / sqrt((a * a + b * b) * (pa * pa + pb * pb)), 1)) AS angle FROM h)"
+_ANGLE = "g AS (SELECT month, qty - 25 AS a, (disc - 0.05) * 1000 AS b FROM market), h AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM g WINDOW w AS (ORDER BY month)), t AS (SELECT month, CASE WHEN pa IS NOT NULL THEN acos(least(abs(a * pa + b * pb) / sqrt((a * a + b * b) * (pa * pa + pb * pb)), 1)) END AS angle FROM h)"
 
 
 def _angle(spark, d):

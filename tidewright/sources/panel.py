@@ -61,7 +61,7 @@ def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel (permno, month): rev, qty, disc, tax, n, mcap, ret (simple) and lret (log, scaled by ten), rounded at the source."""
     rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("permno"), F.trunc("l_shipdate", "MM").alias("month")).agg(
         F.round(F.sum("l_extendedprice"), 2).alias("rev"), F.round(F.avg("l_quantity"), 8).alias("qty"), F.round(F.avg("l_discount"), 8).alias("disc"),
-        F.round(F.avg("l_tax"), 8).alias("tax"), F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("mcap"),
+        F.round(F.avg("l_tax"), 8).alias("tax"), F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("mcap"),
     )
     w = Window.partitionBy("permno").orderBy("month")
     return rows.withColumn("ret", F.col("rev") / F.lag("rev").over(w) - 1).withColumn("lret", F.round((F.ln("rev") - F.ln(F.lag("rev").over(w))) / 10, 8))
@@ -71,7 +71,7 @@ def market_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series by month: the same measures over all suppliers, returns, and the spread of quantities as a volatility index."""
     rows = read(spark, sf_dir, "lineitem").groupBy(F.trunc("l_shipdate", "MM").alias("month")).agg(
         F.round(F.sum("l_extendedprice"), 2).alias("rev"), F.round(F.avg("l_quantity"), 8).alias("qty"), F.round(F.avg("l_discount"), 8).alias("disc"),
-        F.round(F.avg("l_tax"), 8).alias("tax"), F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("mcap"),
+        F.round(F.avg("l_tax"), 8).alias("tax"), F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("mcap"),
         F.round(F.stddev_samp("l_quantity"), 8).alias("vol"),
     )
     return rows.withColumn("returns", F.round(pct_change("rev"), 8))
