@@ -384,10 +384,10 @@ def month_moments(spark, d):
     return m.select("month", "n", F.round("sy", 6).alias("sy"), F.round("yy", 6).alias("yy"), *(F.round(F.col("b")[i], 5).alias(x) for i, x in enumerate(("ay", "by"))), *(F.round(F.col("a")[i], 4).alias(x) for i, x in enumerate(("aa", "ab", "bb"))))
 
 
-@query(f"WITH {_Z} SELECT month, count(*) AS n, round(avg(a * y), 6) AS qa, round(avg(b * y), 6) AS qb, round(avg(a * a), 5) AS waa, round(avg(a * b), 5) AS wab, round(avg(b * b), 5) AS wbb FROM z GROUP BY 1")
+@query(f"WITH {_Z} SELECT month, count(*) AS n, round(avg(a * y), 10) AS qa, round(avg(b * y), 10) AS qb, round(avg(a * a), 9) AS waa, round(avg(a * b), 9) AS wab, round(avg(b * b), 9) AS wbb FROM z GROUP BY 1")
 def managed_portfolios(spark, d):
     m = moments.managed_portfolios(_z(spark, d), ["a", "b"])
-    return m.select("month", "n", *(F.round(F.col("q")[i], 6).alias(x) for i, x in enumerate(("qa", "qb"))), *(F.round(F.col("w")[i], 5).alias(x) for i, x in enumerate(("waa", "wab", "wbb"))))
+    return m.select("month", "n", *(F.round(F.col("q")[i], 10).alias(x) for i, x in enumerate(("qa", "qb"))), *(F.round(F.col("w")[i], 9).alias(x) for i, x in enumerate(("waa", "wab", "wbb"))))
 
 
 _G = (0.6, 0.8)
