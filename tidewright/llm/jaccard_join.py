@@ -233,10 +233,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = _cut_sets(texts.filter("id is not null"), k, fragments).groupBy("frag").applyInArrow(_count_fragment(fragments), "bucket int, cut binary")
     opened = stage(shared.groupBy("bucket").applyInArrow(_put_together(threshold), "cls binary, n long, alpha long, grams array<long>"), "open")
 
-    # pairs of classes of sizes that can reach the threshold
-    fits = lambda x, y: (F.col(x) * 100 >= threshold * F.col(y)) & (F.col(y) * 100 >= threshold * F.col(x))
+    # if this is the first n-gram that two sets share, they share no more than either has from here on (ra, rb); where it
+    # isn't, the pair has met before under a looser bound
+    fits = (100 + threshold) * F.least("ra", "rb") >= threshold * (F.col("na") + F.col("nb"))
     own = (F.col("n") - F.size("grams")) / F.col("n")  # the share of n-grams of its own: least for what others were made from
-    prefix = opened.select("cls", "n", own.alias("own"), F.explode(F.slice("grams", 1, F.size("grams") - F.col("alpha").cast("int") + 1)).alias("gram"))
+    prefix = opened.select("cls", "n", own.alias("own"), F.size("grams").alias("s"), F.posexplode(F.slice("grams", 1, F.size("grams") - F.col("alpha").cast("int") + 1)).alias("at", "gram"))
+    prefix = prefix.withColumn("rest", F.col("s") - F.col("at")).drop("s", "at")
     segment = lambda i: F.filter("grams", lambda g: F.pmod(g, F.lit(parts)) == i)
     segments = opened.select("cls", F.posexplode(F.array(*map(segment, range(parts)))).alias("part", "grams")).filter(F.size("grams") > 0)
     prefix = stage(prefix, "prefixes")
@@ -244,10 +246,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def star(rows: DataFrame, order) -> DataFrame:
         """Pairs of each list's members with its first."""
-        lists = rows.groupBy("gram").agg(F.min(F.struct(order.alias("order"), "n", "cls", "component")).alias("lead"), F.count("*").alias("m")).filter("m > 1")
-        met = rows.join(lists.select("gram", F.col("lead.cls").alias("a"), F.col("lead.n").alias("na"), F.col("lead.component").alias("ca")), "gram")
-        met = met.filter((F.col("component") != F.col("ca")) & (F.col("cls") != F.col("a"))).select("a", "na", F.col("cls").alias("b"), F.col("n").alias("nb"))
-        return ordered(met.filter(fits("na", "nb"))).distinct()
+        lists = rows.groupBy("gram").agg(F.min(F.struct(order.alias("order"), "n", "cls", "component", "rest")).alias("lead"), F.count("*").alias("m")).filter("m > 1")
+        met = rows.join(lists.select("gram", F.col("lead.cls").alias("a"), F.col("lead.n").alias("na"), F.col("lead.component").alias("ca"), F.col("lead.rest").alias("ra")), "gram")
+        met = met.filter((F.col("component") != F.col("ca")) & (F.col("cls") != F.col("a"))).select("a", "na", "ra", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+        return ordered(met.filter(fits)).distinct()
 
     def ordered(pairs: DataFrame) -> DataFrame:
         up = F.col("a") < F.col("b")
@@ -269,9 +271,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
     rows = prefix.join(of, "cls")
     apart = rows.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gram")
-    rows = stage(rows.join(apart, "gram").select("gram", "cls", "n", "component"), "apart")
-    x, y = rows.select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), rows.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "gram").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "na", "b", "nb").distinct()
+    rows = stage(rows.join(apart, "gram").select("gram", "cls", "n", "component", "rest"), "apart")
+    side = lambda x: rows.select("gram", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("rest").alias(f"r{x}"))
+    rest = side("a").join(side("b"), "gram").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "na", "b", "nb").distinct()
     of = grouped(stage(_overlaps(stage(rest.join(done, ["a", "b"], "left_anti"), "pairs"), segments, threshold), "links"), of)
 
     # documents that repeat an identifier with other texts join what their texts are in
