@@ -91,7 +91,7 @@ def shingles(hashed: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> tupl
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     n = np.bincount(text, minlength=n_texts)
     g = hashed.copy()
-    for step in range(1, k):
+    for step in range(1, min(k, len(g))):
         g[: len(g) - step] = mix(g[: len(g) - step] * _BASE + hashed[step:])
     whole = np.zeros(len(g), dtype=bool)
     whole[: max(0, len(g) - k + 1)] = text[: max(0, len(g) - k + 1)] == text[k - 1 :] if len(g) >= k else False
