@@ -8,7 +8,7 @@ Each page is handled alone, in a scalar pandas UDF: no shuffle, and memory for a
 the page's length whatever its markup.
 
 Defined results: null or empty html gives empty text; unclosed elements end with the page; a tag, comment or script cut
-off by the page's end is dropped; unknown tags are inline; repeated page_ids give a row each; null urls stay null.
+off by the page's end is dropped, and after a quote in a tag that never ends tags end at the next >; unknown tags are inline; repeated page_ids give a row each; null urls stay null.
 """
 
 from __future__ import annotations
