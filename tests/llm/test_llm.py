@@ -380,9 +380,9 @@ def test_passages_against_brute_force(spark):
 
 
 def test_passages_of_the_tables(spark):
-    """Every document that shares fifty words in a row with another is reported, and no other shares less than forty."""
+    """Every document that shares fifty words in a row with another is reported, and none without fifteen (fuzzy ones have a few)."""
     docs = {i: re.findall(decontaminate.WORD, (t or "").translate(LOW)) for i, t, *_ in local("documents")}
-    owners = {n: defaultdict(set) for n in (40, 50)}
+    owners = {n: defaultdict(set) for n in (15, 50)}
     for n, of in owners.items():
         for i, w in docs.items():
             for j in range(len(w) - n + 1):
@@ -390,7 +390,7 @@ def test_passages_of_the_tables(spark):
     sharing = {n: {i for s in of.values() if len(s) > 1 for i in s} for n, of in owners.items()}
     got = {i for r in entry.queries()["op8_substring_dedup"](spark, DATA).collect() for i in (r["doc_id"], r["other_id"])}
     assert sharing[50] <= got
-    assert len(got - sharing[40]) <= 0.02 * len(docs)
+    assert got <= sharing[15]
 
 
 # 9
