@@ -116,3 +116,29 @@ def test_sources(spark, tmp_path):
 
 def test_grid_size(spark):
     assert ridge.complexity_grid(spark, 2).select("p").distinct().count() > 60
+
+
+def test_notebook_source(spark, tmp_path):
+    import json
+
+    from tidewright.sources import notebook
+
+    p = tmp_path / "n.ipynb"
+    p.write_text(json.dumps({"cells": [
+        {"cell_type": "code", "source": ["a"], "outputs": [{"output_type": "stream", "text": ["OOS R2: -0.0023\n", "R2 = 0.5"]}, {"output_type": "display_data", "data": {"image/png": "xx"}}]},
+        {"cell_type": "code", "source": ["b"], "outputs": [{"output_type": "error", "ename": "KeyError", "evalue": "a_b"}]},
+        {"cell_type": "markdown", "source": ["c"]},
+    ]}))
+    assert [r["r2"] for r in notebook.metrics(spark, str(p)).orderBy("r2").collect()] == [-0.0023, 0.5]
+    assert "KeyError: a_b" in notebook.report(spark, str(p)) and r"a\_b" in notebook.report(spark, str(p), latex=True)
+
+
+def test_sweep_matches_single_runs(spark):
+    import numpy as np
+
+    rows = [(dt.date(2000 + i // 12, i % 12 + 1, 1), float(np.sin(i)), float(np.cos(2 * i)) / 10) for i in range(30)]
+    df = spark.createDataFrame(rows, "month date, x double, y double")
+    got = ridge.sweep(ridge.grid(spark, [1.0], [6], [1.0, 10.0], [3]), df, ["x"], "y").filter("z = 10").orderBy("month").collect()
+    phi = ridge.sweep_features(np.array([[r[1]] for r in rows]), 6, 1.0, 3)
+    f, _ = ridge.backtest(phi @ phi.T, np.array([r[2] for r in rows]), 10.0, 12)
+    assert np.allclose([r["forecast"] for r in got], f[12:])

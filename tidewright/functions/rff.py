@@ -39,3 +39,13 @@ def rff(columns: list[str], gamma: float = 2.0, n_features: int = 6000, seed: in
             yield pd.Series(list(expand(batch.to_numpy(dtype=float), omega)))
 
     return features(F.struct(*columns))
+
+
+def expand_panel(df, columns: list[str], gamma: float, n_features: int, seed: int, prefix: str = "f"):
+    """df with its columns replaced by one fixed map's 2 * n_features features, the same for all months and windows."""
+    made = df.withColumn("__f", rff(columns, gamma, n_features, seed))
+    return made.select(*(c for c in df.columns if c not in columns), *(F.col("__f")[i].alias(f"{prefix}_{i:03d}") for i in range(2 * n_features)))
+
+
+def with_intercept(df, name: str = "const"):
+    return df.withColumn(name, F.lit(1.0))

@@ -19,6 +19,15 @@ def training_windows(df: DataFrame, months: int, month: str = "month") -> DataFr
     return tests.join(F.broadcast(seen), near)  # a row per month
 
 
+def universe_moments(panel: DataFrame, chars: list[str], target: str, chosen: DataFrame, months: int, month: str = "month", id: str = "permno") -> DataFrame:
+    """Moments of each test month's training window over that month's universe only: (test_month, month, n, ...).
+
+    chosen: (month, id) of the universes, of a few names a month; the window's rows are found by id and month.
+    """
+    near = training_windows(panel, months, month).join(chosen.withColumnRenamed(month, "test_month"), "test_month")
+    return month_moments(near.join(panel, [month, id]), chars, target, month, by=("test_month",))
+
+
 def align_warm_factors(old: np.ndarray, old_months: list, months: list) -> np.ndarray:
     """Factors of earlier months where known, their mean elsewhere."""
     at = {t: i for i, t in enumerate(old_months)}

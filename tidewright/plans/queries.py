@@ -391,6 +391,7 @@ def managed_portfolios(spark, d):
 
 
 _G = (0.6, 0.8)
+_W2 = [float(v) for v in rff.frequencies(2, 1, 0.2, 4)[:, 0]]
 _FSTEP = f"{_Z}, f AS (SELECT month, sum(({_G[0]} * a + {_G[1]} * b) * y) / sum(({_G[0]} * a + {_G[1]} * b) ** 2) AS f FROM z GROUP BY 1)"
 
 
@@ -429,6 +430,22 @@ def monthly_oos_r2(spark, d):
     return rounded(portfolio.oos_r2(predictions(spark, d), by=["month"]))
 
 
+@query(f"WITH {_Z} SELECT permno, month, y, round(sin({_W2[0]!r} * a + {_W2[1]!r} * b), 8) + 0.0 AS f_000, round(cos({_W2[0]!r} * a + {_W2[1]!r} * b), 8) + 0.0 AS f_001, 1.0::DOUBLE AS const FROM z")
+def rff_panel_features(spark, d):
+    return rounded(rff.with_intercept(rff.expand_panel(_z(spark, d), ["a", "b"], 0.2, 1, 4)), 8)
+
+
+@query(f"""WITH {_Z}, u AS (SELECT month, permno FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY mcap DESC, permno) AS rn FROM panel) WHERE rn <= 10),
+    n AS (SELECT month, lead(month) OVER (ORDER BY month) AS next FROM (SELECT DISTINCT month FROM panel)), v AS (SELECT next AS month, permno FROM u JOIN n USING (month) WHERE next IS NOT NULL),
+    t AS (SELECT v.month AS test_month, z.* FROM v JOIN z ON z.permno = v.permno AND z.month >= v.month - INTERVAL 12 MONTH AND z.month < v.month)
+    SELECT test_month, month, count(*) AS n, round(sum(a * y), 5) AS ay, round(sum(b * y), 5) AS "by", round(sum(a * b), 4) AS ab FROM t GROUP BY 1, 2""")
+def universe_window_moments(spark, d):
+    p = supplier_month(spark, d)
+    chosen = universe.previous_month(universe.by_market_cap(p, top_n=10), p)
+    m = rolling.universe_moments(_z(spark, d), ["a", "b"], "y", chosen, 12)
+    return m.select("test_month", "month", "n", F.round(F.col("b")[0], 5).alias("ay"), F.round(F.col("b")[1], 5).alias("by"), F.round(F.col("a")[1], 4).alias("ab"))
+
+
 # Timing backtests
 
 _RIDGE1 = """x AS (SELECT month, qty - 25 AS x, returns AS y FROM market WHERE returns IS NOT NULL),
