@@ -7,10 +7,10 @@ text has an expected grade and tail probabilities; it is kept when P(grade >= 2)
 Features are words (lower-cased, each hashed twice, so that a chance collision carries half a weight) and binned shares of
 the text's make-up (symbols, capitals, repeated words and so on), all in one hashed space.
 
-Fitting takes at most `max_rows` labelled rows (the documented bound: 20,000 by default, those whose identifiers hash
+Fitting takes at most `max_rows` labelled rows (the documented bound: 16,000 by default, those whose identifiers hash
 lowest); only their hashed features come to the driver. Fitting is follow-the-regularised-leader with an L1 penalty,
-in numpy and in a seeded order, and gives the same model for the same rows. Scoring is one Arrow pass over all texts without a shuffle; the model has a
-fixed size (4 bytes * 2**bits).
+in numpy and in a seeded order, and gives the same model for the same rows. Scoring is one Arrow pass over all texts
+without a shuffle; the model has a fixed size (4 bytes * 2**bits).
 
 Defined results: a null or empty text is scored by its make-up alone; labels with null identifiers or unclear grades are
 left out; labels that repeat an identifier count as the lowest grade; without labelled rows every text is kept with
@@ -106,16 +106,21 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit(rows: np.ndarray, feats: np.ndarray, grades: np.ndarray, bits: int, grades_n: int = GRADES, l1: float = 3.0, l2: float = 1.0, rate: float = 0.1, passes: int = 5, least_rows: int = 4, seed: int = 1) -> Ordinal:
-    """Fit on (row, feature) pairs sorted by row, by follow-the-regularised-leader with an L1 penalty: weights of rare features stay zero."""
+def fit(bounds: np.ndarray, feats: np.ndarray, grades: np.ndarray, bits: int, grades_n: int = GRADES, l1: float = 3.0, l2: float = 1.0, rate: float = 0.1, passes: int = 5, least_steps: int = 20_000, least_rows: int = 4, seed: int = 1) -> Ordinal:
+    """Fit on the features feats[bounds[i]:bounds[i + 1]] of each row i, by follow-the-regularised-leader with an L1
+    penalty: weights of rare features stay zero. Few rows are passed over more often, to least_steps steps."""
     n = len(grades)
     if n == 0:
         return Ordinal(bits, np.zeros(1 << bits, dtype=np.float32), np.full(grades_n - 1, -1e3))
     seen = np.bincount(feats, minlength=1 << bits)
-    use = seen[feats] >= min(least_rows, max(1, n // 10))
-    rows, feats = rows[use], feats[use]
-    names, slot = np.unique(feats, return_inverse=True)
-    bounds = np.searchsorted(rows, np.arange(n + 1))
+    names = np.flatnonzero(seen >= min(least_rows, max(1, n // 10)))
+    place = np.full(1 << bits, -1, dtype=np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    slot = place[feats]
+    use = slot >= 0
+    bounds = np.concatenate([[0], np.cumsum(use)])[bounds]
+    slot = slot[use]
+    del use
     share = np.array([((grades >= k).sum() + 0.5) / (n + 1) for k in range(1, grades_n)])
     theta = np.concatenate([[-np.inf], -np.log(share / (1 - share)), [np.inf]])
     z, q, t2 = np.zeros(len(names)), np.zeros(len(names)), np.ones(grades_n + 1)
@@ -128,7 +133,7 @@ def fit(rows: np.ndarray, feats: np.ndarray, grades: np.ndarray, bits: int, grad
     def sigmoid(x: float) -> float:
         return 1 / (1 + np.exp(-min(max(x, -40.0), 40.0)))
 
-    for _ in range(passes):
+    for _ in range(max(passes, -(-least_steps // n))):
         for i in rng.permutation(n):
             j, y = slot[bounds[i] : bounds[i + 1]], grades[i]
             w = weights(j)
@@ -157,7 +162,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 20_000, **options) -> Ordinal:
+def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 16_000, **options) -> Ordinal:
     """A model from rated (id, grade) rows and the texts they belong to."""
     # at most max_rows rows of two numbers: may be broadcast
     chosen = F.broadcast(rated.orderBy(F.xxhash64("id"), "id").limit(max_rows))
@@ -176,10 +181,11 @@ def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: s
     # of rows that repeat an identifier one is used, so that no more than max_rows come
     rows = texts.mapInArrow(pack, "id long, grade int, feats binary").groupBy("id").agg(F.min("grade").alias("grade"), F.min("feats").alias("feats")).collect()
     rows.sort(key=lambda r: r["id"])
-    each = [np.frombuffer(r["feats"], dtype="<i4") for r in rows]
-    at = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    feats = np.concatenate(each) if each else np.zeros(0, dtype=np.int32)
-    return fit(at, feats, np.array([r["grade"] for r in rows], dtype=np.int64), bits, **options)
+    bounds = np.concatenate([[0], np.cumsum([len(r["feats"]) // 4 for r in rows])]).astype(np.int64)
+    grades = np.array([r["grade"] for r in rows], dtype=np.int64)
+    feats = np.frombuffer(b"".join(r["feats"] for r in rows), dtype="<i4")
+    del rows
+    return fit(bounds, feats, grades, bits, **options)
 
 
 def rated_texts(model: Ordinal, text: Column, spark: SparkSession) -> Column:
