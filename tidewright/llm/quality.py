@@ -7,7 +7,7 @@ text has an expected grade and tail probabilities; it is kept when P(grade >= 2)
 Features are words (lower-cased, each hashed twice, so that a chance collision carries half a weight) and binned shares of
 the text's make-up (symbols, capitals, repeated words and so on), all in one hashed space.
 
-Fitting takes at most `max_rows` labelled rows (the documented bound: 16,000 by default, those whose identifiers hash
+Fitting takes at most `max_rows` labelled rows (the documented bound: 10,000 by default, those whose identifiers hash
 lowest); only their hashed features come to the driver. Fitting is follow-the-regularised-leader with an L1 penalty,
 in numpy and in a seeded order, and gives the same model for the same rows. Scoring is one Arrow pass over all texts
 without a shuffle; the model has a fixed size (4 bytes * 2**bits).
@@ -112,15 +112,18 @@ def fit(bounds: np.ndarray, feats: np.ndarray, grades: np.ndarray, bits: int, gr
     n = len(grades)
     if n == 0:
         return Ordinal(bits, np.zeros(1 << bits, dtype=np.float32), np.full(grades_n - 1, -1e3))
-    seen = np.bincount(feats, minlength=1 << bits)
+    chunk = 1 << 20  # counts and look-ups by chunks: their 64-bit copies stay small
+    seen = np.zeros(1 << bits, dtype=np.int32)
+    for at in range(0, len(feats), chunk):
+        seen += np.bincount(feats[at : at + chunk], minlength=1 << bits).astype(np.int32)
     names = np.flatnonzero(seen >= min(least_rows, max(1, n // 10)))
     place = np.full(1 << bits, -1, dtype=np.int32)
     place[names] = np.arange(len(names), dtype=np.int32)
-    slot = place[feats]
-    use = slot >= 0
-    bounds = np.concatenate([[0], np.cumsum(use)])[bounds]
-    slot = slot[use]
-    del use
+    kept = [place[feats[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    kept = [x[x >= 0] for x in kept]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int64)
+    slot = np.concatenate(kept)
+    del kept, seen, place
     share = np.array([((grades >= k).sum() + 0.5) / (n + 1) for k in range(1, grades_n)])
     theta = np.concatenate([[-np.inf], -np.log(share / (1 - share)), [np.inf]])
     z, q, t2 = np.zeros(len(names)), np.zeros(len(names)), np.ones(grades_n + 1)
@@ -162,7 +165,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 16_000, **options) -> Ordinal:
+def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 10_000, **options) -> Ordinal:
     """A model from rated (id, grade) rows and the texts they belong to."""
     # at most max_rows rows of two numbers: may be broadcast
     chosen = F.broadcast(rated.orderBy(F.xxhash64("id"), "id").limit(max_rows))
