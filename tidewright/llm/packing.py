@@ -6,8 +6,8 @@
    LP (fewest sequences such that every length's pieces are covered) is solved by multiplicative weights: each length
    has a price, an unbounded knapsack by dynamic programming finds the dearest configurations, these gain mass, and the
    prices of the lengths they cover fall. The prices also give a lower bound by duality.
-3. Rounding: whole multiples of the configurations are used as far as pieces last, fullest first; what is left of the
-   histogram is packed best-fit, longest first, again over counts and not over pieces.
+3. Rounding: whole multiples of the configurations, or of a share of them, are used as far as pieces last, fullest first;
+   what is left of the histogram is packed best-fit, longest first, over counts and not over pieces. The best share stays.
 4. The plan says for each length which ranks go to which sequences. Pieces get ranks without gathering a length in one
    task: they are dealt by length and a salt whose number grows with the input, numbered inside, and shifted by the
    counts of lower salts. The plan's size depends on the histogram's only, so it may be broadcast.
@@ -216,17 +216,22 @@ def best_fit(left: dict[int, int], size: int = SIZE) -> Counter:
     return sum((Counter(x) for x in groups.values()), Counter())
 
 
-def rounded(histogram: dict[int, int], mass: Counter, size: int = SIZE) -> Counter:
-    """Whole counts of configurations that hold every piece once."""
-    left, used = dict(histogram), Counter()
-    for config, x in sorted(mass.items(), key=lambda kv: (size - sum(kv[0]), -kv[1], kv[0])):
-        use = Counter(config)
-        n = min(int(x), *(left[length] // k for length, k in use.items()))
-        if n > 0:
-            used[config] += n
-            for length, k in use.items():
-                left[length] -= n * k
-    return used + best_fit({k: v for k, v in left.items() if v}, size)
+def rounded(histogram: dict[int, int], mass: Counter, size: int = SIZE, shares: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25)) -> Counter:
+    """Whole counts of configurations that hold every piece once: of the shares of the mass that are rounded down, the one
+    whose rest packs best."""
+
+    def trial(share: float) -> Counter:
+        left, used = dict(histogram), Counter()
+        for config, x in sorted(mass.items(), key=lambda kv: (size - sum(kv[0]), -kv[1], kv[0])):
+            use = Counter(config)
+            n = min(int(x * share), *(left[length] // k for length, k in use.items()))
+            if n > 0:
+                used[config] += n
+                for length, k in use.items():
+                    left[length] -= n * k
+        return used + best_fit({k: v for k, v in left.items() if v}, size)
+
+    return min((trial(share) for share in shares), key=lambda used: sum(used.values()))
 
 
 def plan(used: Counter) -> list[tuple[int, int, int, int, int, int]]:
