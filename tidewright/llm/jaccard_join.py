@@ -218,6 +218,9 @@ def _put_together(threshold: int):
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, na, b, nb) that reach the threshold: overlaps counted fragment by fragment, then summed."""
+    # few pairs are broadcast by their size, and only their segments are dealt
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    segments = segments.join(ends, "cls", "left_semi")
     sa, sb = segments.select(F.col("cls").alias("a"), "part", F.col("grams").alias("ga")), segments.select(F.col("cls").alias("b"), "part", F.col("grams").alias("gb"))
     partial = pairs.join(sa, "a").join(sb, ["b", "part"]).select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("common"))
     summed = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
