@@ -379,6 +379,28 @@ def test_passages_against_brute_force(spark):
     assert substring_dedup.repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_passages_of_common_parts(spark):
+    """Documents that share `least` words in a row are connected, also where others hold every part of them."""
+    rng = np.random.default_rng(8)
+    say = lambda k: [f"u{j}" for j in rng.integers(0, 10**9, k)]
+    texts = {}
+    for n in range(0, 600, 20):
+        x, y, z = say(30), say(30), say(30)
+        texts |= {n: say(9) + y, n + 1: x + say(7), n + 2: say(20) + x + y + say(20), n + 3: say(5) + x + y + say(3), n + 9: say(2) + x + say(40), n + 10: y + say(11)}
+        if n >= 300:
+            texts |= {n + 4: say(3) + x, n + 5: y + say(1), n + 6: x + z + x + y, n + 7: z + say(90) + x, n + 8: y + x + z, n + 11: z + x + say(2), n + 12: z + y + x + say(80) + z}
+    docs = spark.createDataFrame([(i, " ".join(t), None, None, None) for i, t in texts.items()], DOCS)
+    owners = defaultdict(set)
+    for i, t in texts.items():
+        for j in range(len(t) - 49):
+            owners[tuple(t[j : j + 50])].add(i)
+    edges = {frozenset((min(s), i)) for s in owners.values() for i in s if i != min(s)}
+    got = substring_dedup.repeated_passages(docs, per_fragment=1000).collect()
+    assert edges <= {frozenset((r["id"], r["other_id"])) for r in got}
+    rows = {(r["id"], r["other_id"], r["start"], r["end"], r["other_start"], r["other_end"], r["n_same"]) for r in got}
+    assert all((n + 3, n + 2, 5, 65, 20, 80, 60) in rows for n in range(0, 600, 20))
+
+
 def test_passages_of_the_tables(spark):
     """Every document that shares fifty words in a row with another is reported, and none without fifteen (fuzzy ones have a few)."""
     docs = {i: re.findall(decontaminate.WORD, (t or "").translate(LOW)) for i, t, *_ in local("documents")}
