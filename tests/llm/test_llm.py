@@ -401,6 +401,22 @@ def test_passages_of_common_parts(spark):
     assert all((n + 3, n + 2, 5, 65, 20, 80, 60) in rows for n in range(0, 600, 20))
 
 
+def test_passages_beyond_their_seeds(spark):
+    """A clean run of 17 words within a passage that otherwise changes every seventh, and one with words left out."""
+    rng = np.random.default_rng(5)
+    say = lambda k: [f"u{j}" for j in rng.integers(0, 10**9, k)]
+    texts = []
+    for n in range(20):
+        x = say(60)
+        y = [v if 21 <= i < 38 or i % 7 else f"changed{n}" for i, v in enumerate(x)]
+        texts += [say(30) + x + say(30), say(50) + y + say(20)]
+    x = say(54)
+    texts += [say(30) + x + say(30), say(9) + x[:19] + x[20:39] + x[40:] + say(30)]
+    got = {(r["id"], r["other_id"]) for r in substring_dedup.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()}
+    assert got == {(i + 1, i) for i in range(0, 42, 2)}
+    assert not substring_dedup.may_align(np.arange(50), np.arange(11, 70), 50, 0.8) and substring_dedup.may_align(np.arange(50), np.arange(10, 70), 50, 0.8)
+
+
 def test_passages_of_the_tables(spark):
     """Every document that shares fifty words in a row with another is reported, and none without fifteen (fuzzy ones have a few)."""
     docs = {i: re.findall(decontaminate.WORD, (t or "").translate(LOW)) for i, t, *_ in local("documents")}
