@@ -417,6 +417,35 @@ def test_passages_beyond_their_seeds(spark):
     assert not substring_dedup.may_align(np.arange(50), np.arange(11, 70), 50, 0.8) and substring_dedup.may_align(np.arange(50), np.arange(10, 70), 50, 0.8)
 
 
+def test_fuzzy_passages_against_brute_force(spark):
+    """Passages of 80 to 95 % equal words, changed evenly or anywhere; brute force counts equal words on every diagonal."""
+    rng = np.random.default_rng(11)
+    say = lambda k: rng.integers(0, 10**9, k)
+    texts = []
+    for length in (50, 60, 100):
+        for share in (0.8, 0.85, 0.875, 0.9, 0.95):
+            for even in (True, False):
+                n = round(length * (1 - share))
+                at = (np.arange(n) * length // n + length // n // 2) if even else rng.permutation(np.arange(1, length - 1))[:n]
+                x = say(length)
+                y = x.copy()
+                y[at] = say(n)
+                texts += [np.concatenate([say(30), x, say(20)]), np.concatenate([say(10), y, say(40)])]
+
+    def brute(x, y, least=50, same=0.8):
+        for d in range(-len(x) + least, len(y) - least + 1):
+            lo, hi = max(0, -d), min(len(x), len(y) - d)
+            sums = np.concatenate([[0], np.cumsum((x[lo:hi] == y[lo + d : hi + d]) - same)])
+            if len(sums) > least and (sums[least:] - np.minimum.accumulate(sums)[: len(sums) - least]).max() > -1e-9:
+                return True
+        return False
+
+    want = {(i + 1, i) for i in range(0, len(texts), 2) if brute(texts[i + 1], texts[i])}
+    assert len(want) == len(texts) // 2
+    got = substring_dedup.repeated_passages(documents(spark, [" ".join(f"u{v}" for v in t) for t in texts]))
+    assert {(r["id"], r["other_id"]) for r in got.collect()} == want
+
+
 def test_passages_of_the_tables(spark):
     """Every document that shares fifty words in a row with another is reported, and none without fifteen (fuzzy ones have a few)."""
     docs = {i: re.findall(decontaminate.WORD, (t or "").translate(LOW)) for i, t, *_ in local("documents")}
