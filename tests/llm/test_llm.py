@@ -99,6 +99,19 @@ def test_html(spark):
     assert got[0]["t"].startswith("Café") and got[1]["t"] == ""
 
 
+@pytest.mark.parametrize("size", [10, 1900, 5000, 200_000])
+def test_html_long_attributes(size):
+    """What a container is may be said behind a long attribute."""
+    data = f'data-x="{"{a:1}" * (size // 5)}"'
+    advert = "<p>We sell many good things here every day, and you may buy all of them from us now.</p>"
+    for says in ('class="advert"', 'id="sidebar"', 'role="complementary"', "hidden", 'aria-hidden="true"'):
+        page = f"<article><p>This is the first line of the article.</p><div {data} {says}>{advert}</div><p>This is its last line.</p></article>"
+        assert html_extract.main_text(page) == "This is the first line of the article.\n\nThis is its last line."
+    assert html_extract.blocks(f'<div {data} class="article-body"><p>x</p></div>')[0][1][6] == 1.0
+    inside = html_extract.blocks(f"<div {data} data-y='{{&quot;hidden&quot;: 1, hidden class=ad}}'><p>x</p></div>")
+    assert inside[0][1][7] == 0.0  # what a value says of others is no attribute
+
+
 def test_html_tree_holds_out():
     tree = html_extract.trained()
     right = total = 0

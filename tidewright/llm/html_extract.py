@@ -49,7 +49,7 @@ CONTENT_HINTS = frozenset("articlebody postbody entrycontent postcontent article
 _COMMENT_HINTS = frozenset("comment comments commentlist disqus reply replies respond discussion responses".split())
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRS = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-_NAMED = re.compile(r"""(?i)(?<![\w-])(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+_NAMED = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Open elements that a start tag of the kind on the left ends.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr",)}
@@ -59,7 +59,6 @@ FEATURES = (
 )
 
 
-@cache
 def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
     """(main, boilerplate) of a start tag."""
     main, boiler = tag in MAIN_TAGS, tag in BOILER_TAGS or tag == "header"
@@ -78,6 +77,9 @@ def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
     return main, boiler
 
 
+_short_kind = cache(_kind)
+
+
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, features) of a page's flat text blocks, in page order."""
     page = page or ""
@@ -174,7 +176,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
                     break
                 if stack[i][0] in BLOCK:
                     break
-        main, boiler = _kind(tag, attrs[:2000])
+        main, boiler = (_short_kind if len(attrs) <= 2000 else _kind)(tag, attrs)  # long ones aren't kept
         if tag == "header" and any(t in MAIN_TAGS for t, _, _ in stack):
             boiler = False  # the head of an article, not of the page
         has_main |= main
