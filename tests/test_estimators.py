@@ -137,3 +137,13 @@ def test_bootstrap_and_cross_validation(spark):
     half = {0: m.part(np.arange(30) < 15), 1: m.part(np.arange(30) >= 15)}
     path = ipca.fit_path(half, [0.1, 1e6], n_factors=1, max_iter=50)
     assert len(path) == 2 and all(np.isfinite(e) for _, e in path)
+
+
+def test_registered_over_the_whole_panel_with_all_draws(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    queries, data, seen, real = entry.queries(), "/root/testdata/sf0.001", [], ipca.bootstrap
+    monkeypatch.setattr(ipca, "bootstrap", lambda *a, **b: seen.append(real(*a, **b)) or seen[-1])
+    assert queries["ipca_bootstrap"](spark, data).count() == 1 and seen[0][2].count() == 1000
+    keys = lambda name: {(r["permno"], r["month"]) for r in queries[name](spark, data).collect()}
+    assert keys("grassmann_rolling") == keys("ipca_als_rolling")

@@ -605,8 +605,6 @@ def _panel(spark):
     return synthetic.factor_panel(spark, T=30, N=40, m=4, k=2, seed=3)
 
 
-_CHARS = [f"char_{i:03d}" for i in range(4)]
-
 
 @query()
 def synthetic_panel(spark, d):
@@ -626,7 +624,7 @@ def ipca_als_diagnostics(spark, d):
 
 @query()
 def grassmann_rolling(spark, d):
-    return rolling.rolling_factors(_panel(spark), _CHARS, n_factors=2, estimator="grassmann", max_iter=60)[0]
+    return rolling.rolling_factors(_z(spark, d), ["a", "b"], n_factors=1, min_obs=50, estimator="grassmann", max_iter=200)[0]
 
 
 @query()
@@ -641,5 +639,5 @@ def ipca_cv_path(spark, d):
 @query()
 def ipca_bootstrap(spark, d):
     m = moments.collect(moments.month_moments(_z(spark, d), ["a", "b"]), 2)
-    stat, p, _ = ipca.bootstrap(spark, ipca.fit(m, 1, max_iter=200), row=0, draws=40, tasks=8, max_iter=100)
+    stat, p, _ = ipca.bootstrap(spark, ipca.fit(m, 1, max_iter=200), row=0, tasks=8)
     return spark.createDataFrame([(stat, p)], "statistic double, p_value double")
