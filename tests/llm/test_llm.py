@@ -193,10 +193,18 @@ def test_exact_nulls_repeats_and_levels(spark):
 
 
 def test_encoder_is_the_tokenizer():
-    own = packing.encoder(packing.tokenizer_path())
-    odd = ["a  b", "  x", " x", "x ", "a \n b", "a\n\n b  \n c", "\n", "", "a\t b", "é  ñ  x", "don't 'll  <|endoftext|> z", "x" * 300 + "  y", "a\x1c b", "a\u00a0 b", "z\u2003 \u2003y"]
-    for t in odd + [r[1] for r in local("documents")[:60]]:
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == own.whole.encode(t, add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    own, plain = packing.encoder(path), Tokenizer.from_file(path)
+    odd = ["a  b", "  x", " x", "x ", "a \n b", "a\n\n b  \n c", "\n", "", None, "a\t b", "é  ñ  x", "don't 'll  <|endoftext|> z", "x" * 300 + "  y", "a\x1c b", "a\u00a0 b", "z\u2003 \u2003y"]
+    odd += ["hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "<|endoftext |> c", "a   b", "x\n y", "\n\n y", "Ġa Ġb", "a\u0120 b", "s 's 'S it's", "1 22 333 é1"]
+    texts = odd + [r[1] for r in local("documents")] + ["word " * 50_000, "x" * 30_000]
+    assert own.fast is not None
+    for t in texts:
+        assert own.encode(t).tolist() == plain.encode(t or "", add_special_tokens=False).ids
+    other = packing.Encoder(packing.tokenizer_path("word_bpe_49k.json"))  # of another kind: the file's own encoder
+    assert other.fast is None and other.encode("Two words").tolist() == other.whole.encode("Two words", add_special_tokens=False).ids
 
 
 def test_configurations_cover_and_fit():

@@ -6,11 +6,12 @@
    LP (fewest sequences such that every length's pieces are covered) is solved by multiplicative weights: each length
    has a price, an unbounded knapsack by dynamic programming finds the dearest configurations, these gain mass, and the
    prices of the lengths they cover fall. The prices also give a lower bound by duality.
-3. Rounding: whole multiples of the configurations, or of a share of them, are used as far as pieces last, fullest first;
-   what is left of the histogram is packed best-fit, longest first, over counts and not over pieces. The best share stays.
+3. Rounding: whole multiples of the configurations, or of a share of them, are used as far as pieces last, fullest first.
+   The program is solved again over what is left, until rounding yields nothing more, and the last rest is packed best-fit,
+   longest first, over counts and not over pieces. The best share stays.
 4. The plan says for each length which ranks go to which sequences. Pieces get ranks without gathering a length in one
-   task: they are dealt by length and a salt whose number grows with the input, numbered inside, and shifted by the
-   counts of lower salts. The plan's size depends on the histogram's only, so it may be broadcast.
+   task: they are dealt by length and a salt whose number grows with the length's count, numbered inside, and shifted by
+   the counts of lower salts. The plan's size depends on the histogram's only, so it may be broadcast.
 
 Defined results: null and empty texts are the end id alone; repeated rows are pieces of their own; null identifiers are
 packed like others; an empty table gives an empty result; columns beyond identifier and text are not read.
@@ -18,6 +19,8 @@ packed like others; an empty table gives an empty result; columns beyond identif
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections import Counter
@@ -33,69 +36,43 @@ from tidewright.llm.common import stage, table
 
 SIZE = 2048
 TOKENIZER = "byte_bpe_50k.json"
-_CUT = re.compile(r"(?<=\S)(?= )")
 _PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids by a byte-level BPE tokenizer file, remembering the ids of recent words.
+    """Texts to the ids of a tokenizer file (JSON), special strings in a text included, no tokens added.
 
-    Byte-level BPE starts a new word at a blank that follows a non-blank, so the stretches between such blanks can be
-    encoded one by one. Both memories hold a bounded number of short keys.
+    The ids of byte-level BPE are the ranks of its merges, so such a file's vocabulary also drives the faster encoder of
+    the same method; a file of another kind, and a text with a word of more than `long` bytes, is left to the file's own.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, long: int = 10_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.most = self.whole.model, most
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.stretches: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        # the byte alphabet of byte-level BPE: printable bytes stand for themselves, others are shifted up from 256
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(shown))}
-
-    def _fresh(self, stretch: str) -> bytes:
-        if len(stretch) > 200:
-            return np.array(self.whole.encode(stretch, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out = []
-        for word in self.pattern.findall(stretch):
-            ids = self.words.get(word)
-            if ids is None:
-                shown = word.encode().decode("latin-1").translate(self.alphabet)
-                ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-                if len(self.words) >= self.most:
-                    self.words.clear()
-                self.words[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
-            return self._slow(text)
-        known = self.stretches
-        out = list(map(known.get, rest))
-        if None in out:
-            for i, (key, ids) in enumerate(zip(rest, out, strict=True)):
-                if ids is None:
-                    if (not key or key[-1].isspace()) and i < len(rest) - 1:
-                        return self._slow(text)  # a blank after white space: the plain cut isn't one
-                    out[i] = known.get(key) or self._fresh(" " + key)
-                    if len(key) <= 24 and key and not key[-1].isspace():
-                        if len(known) >= self.most:
-                            known.clear()
-                        known[key] = out[i]
-        return b"".join([self._fresh(first), *out])
-
-    def _slow(self, text: str) -> bytes:
-        return b"".join(map(self._fresh, _CUT.split(text)))
+        self.whole, self.fast = Tokenizer.from_file(path), None
+        self.long = re.compile(rf"[^ \n]{{{long}}}")
+        made = json.loads(self.whole.to_str())
+        self.special = {x.content: i for i, x in self.whole.get_added_tokens_decoder().items()}
+        bytelevel = made["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if bytelevel and made["normalizer"] is None and made["model"]["type"] == "BPE" and not made["model"]["ignore_merges"]:
+            # the alphabet of byte-level BPE: printable bytes stand for themselves, others are shifted up from 256
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+            ranks = {bytes(byte[c] for c in token): i for token, i in self.whole.get_vocab(with_added_tokens=False).items() if token not in self.special}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        text = text or ""
+        if self.fast is None or self.long.search(text):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        elif any(x in text for x in self.special):
+            ids = self.fast.encode(text, allowed_special="all")
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, dtype="<u4")
 
 
 @cache
@@ -116,11 +93,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         own = encoder(tokenizer_path(tokenizer))
         for batch in batches:
             found: list[list] = [[], [], [], [], []]
-            ids = batch.column(0).to_pylist()
-            for i, text in zip(ids, batch.column(1), strict=True):
-                data = own.encode(text.as_py()) + b"\0\0\0\0"
-                n = len(data) // 4
-                start = 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = own.encode(text.as_py()).tobytes() + b"\0\0\0\0"
+                n, start = len(data) // 4, 0
                 for number in range(-(-n // size)):
                     stop = n - size * ((n - 1) // size) + size * number
                     for column, value in zip(found, (i, number, start, stop - start, zlib.crc32(data[4 * start : 4 * stop])), strict=True):
@@ -216,12 +191,12 @@ def best_fit(left: dict[int, int], size: int = SIZE) -> Counter:
     return sum((Counter(x) for x in groups.values()), Counter())
 
 
-def rounded(histogram: dict[int, int], mass: Counter, size: int = SIZE, shares: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25)) -> Counter:
+def rounded(histogram: dict[int, int], mass: Counter, size: int = SIZE, shares: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25), again: int = 2) -> Counter:
     """Whole counts of configurations that hold every piece once: of the shares of the mass that are rounded down, the one
-    whose rest packs best."""
+    whose rest packs best. The whole mass's rest is also solved and rounded again, `again` times at most."""
 
-    def trial(share: float) -> Counter:
-        left, used = dict(histogram), Counter()
+    def down(left: dict[int, int], mass: Counter, share: float) -> tuple[Counter, dict[int, int]]:
+        left, used = dict(left), Counter()
         for config, x in sorted(mass.items(), key=lambda kv: (size - sum(kv[0]), -kv[1], kv[0])):
             use = Counter(config)
             n = min(int(x * share), *(left[length] // k for length, k in use.items()))
@@ -229,9 +204,19 @@ def rounded(histogram: dict[int, int], mass: Counter, size: int = SIZE, shares:
                 used[config] += n
                 for length, k in use.items():
                     left[length] -= n * k
-        return used + best_fit({k: v for k, v in left.items() if v}, size)
-
-    return min((trial(share) for share in shares), key=lambda used: sum(used.values()))
+        return used, {k: v for k, v in left.items() if v}
+
+    found = []
+    for share in shares:
+        used, left = down(histogram, mass, share)
+        found.append(used + best_fit(left, size))
+        for _ in range(again if share == 1.0 else 0):
+            more, rest = down(left, solve(left, size)[0], 1.0)
+            if not more:
+                break
+            used, left = used + more, rest
+            found.append(used + best_fit(left, size))
+    return min(found, key=lambda used: sum(used.values()))
 
 
 def plan(used: Counter) -> list[tuple[int, int, int, int, int, int]]:
@@ -247,15 +232,16 @@ def plan(used: Counter) -> list[tuple[int, int, int, int, int, int]]:
     return rows
 
 
-def pack(docs: DataFrame, size: int = SIZE, per_salt: int = 20_000, **options) -> DataFrame:
+def pack(docs: DataFrame, size: int = SIZE, per_salt: int = 1000, **options) -> DataFrame:
     """(id, piece, start, length, crc, sequence, offset) of every piece."""
     spark = docs.sparkSession
     cut = stage(pieces(docs, size=size, **options), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     rows = plan(rounded(histogram, solve(histogram, size)[0], size))
     placed = spark.createDataFrame(rows or [(0, 0, 0, 1, 0, 0)], "length long, low long, high long, per long, first long, at long")
-    salts = max(1, -(-max(histogram.values(), default=1) // per_salt))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(salts)))
+    # a length's salts by its own count: no group is much larger than per_salt
+    salts = spark.createDataFrame([(k, -(-n // per_salt)) for k, n in histogram.items()] or [(0, 1)], "length long, salts long")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "crc"), F.col("salts"))).drop("salts")
     inside = Window.partitionBy("length", "salt").orderBy("id", "piece", "crc")
     lower = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
