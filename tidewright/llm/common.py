@@ -36,6 +36,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner", share: int = 4096) -> DataFrame:
+    """left joined with right on `key`, which is unique in right; `rows` there: how many of left's `total` rows have the key.
+
+    Keys of more than total / share rows are fewer than `share`, so their rows of right are broadcast whatever the input;
+    the other keys meet in a shuffle in which none has more rows than that. Both sides are read twice: pass staged tables.
+    """
+    most = total // share
+    if most == 0:  # fewer than `share` keys have any row
+        return left.join(F.broadcast(right.filter(F.col(rows) > 0)), key, how)
+    if (right.agg(F.max(rows)).first()[0] or 0) <= most:
+        return left.join(right, key, how)
+    hot, cold = right.filter(F.col(rows) > most), right.filter(F.col(rows) <= most)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 #: Bits in one bitmap of bitmap_construct_agg, a fixed value of Spark.
 BITMAP_BITS = 32768
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import stage
+from tidewright.llm.common import spread_join, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,20 +13,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round sends every vertex to the neighbour (or itself) of least hash, drawn anew each round, and keeps the edges
     between different targets: a constant share of vertices goes whatever the shape, so rounds grow with the logarithm.
-    Neighbours meet in aggregates with partial sums, never in lists. Each round's table is written to the shared folder.
+    Neighbours meet in aggregates with partial sums, never in lists, and the edges of a star's centre don't meet in one
+    task. Each round's table is written to the shared folder.
     Null ends are dropped; repeated edges and loops change nothing.
     """
     ends = edges.filter("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     levels: list[DataFrame] = []
     left = stage(ends.distinct(), "edges")
-    while left.filter("a <> b").limit(1).count():
+    while n_edges := left.filter("a <> b").count():
         rank = lambda c, turn=len(levels): F.struct(F.xxhash64(F.lit(turn), F.col(c)), F.col(c).alias("id"))
         both = left.select("a", rank("b").alias("n")).unionByName(left.select(F.col("b").alias("a"), rank("a").alias("n")))
-        to = both.groupBy("a").agg(F.min("n").alias("n")).select("a", F.least("n", rank("a"))["id"].alias("to"))
+        to = both.groupBy("a").agg(F.min("n").alias("n"), F.count("*").alias("degree")).select("a", F.least("n", rank("a"))["id"].alias("to"), "degree")
         to = stage(to, "targets")
         levels.append(to)
-        ta, tb = to.select("a", F.col("to").alias("x")), to.select(F.col("a").alias("b"), F.col("to").alias("y"))
-        moved = left.join(ta, "a").join(tb, "b").filter("x <> y")
+        ta, tb = to.select("a", F.col("to").alias("x"), F.col("degree").alias("da")), to.select(F.col("a").alias("b"), F.col("to").alias("y"), F.col("degree").alias("db"))
+        moved = spread_join(spread_join(left, ta, "a", "da", n_edges), tb, "b", "db", n_edges).filter("x <> y")
         left = stage(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if not levels:
         return left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))

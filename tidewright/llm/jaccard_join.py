@@ -4,23 +4,29 @@ The global order of n-grams (by their hashes) is cut into fragments. Every docum
 a fragment holds a segment of each document and can be counted alone:
 
 1. Documents with the same set are one class from the start (a 96-bit name of the set; its members join by aggregation).
-2. Per fragment, the number of classes that hold each n-gram is counted. N-grams of one class can't be shared and go.
-   What is left is put together per class. A class that shares too few of its n-grams with anyone to reach the threshold
-   can have no partner; most documents end here. The number of fragments grows with the number of n-grams, so that each
-   fits one task.
+2. Segments are sent to their fragments in packets: of each class a number within the packet's source (a run of one task's
+   documents), not its name, so that what is sent grows with the n-grams however many fragments there are. Per fragment,
+   the number of classes that hold each n-gram is counted. N-grams of one class can't be shared and go. What is left
+   returns to its source, where the names are; open classes go by numbers. A class that shares too few of its n-grams with anyone to reach the
+   threshold can have no partner; most documents end here.
 3. Candidates: with the rarest n-grams first, two sets that reach the threshold share one within both prefixes. A list of
    classes with a common prefix n-gram isn't paired off: each member meets the list's leader (twice, with different
    leaders), and what is thereby connected needs no more pairs. Only members of lists that are still in different
-   components meet each other. Nothing is capped.
+   components, and that could reach the threshold by where the n-gram stands, meet each other, in blocks. Nothing is capped.
 4. Partial overlaps: segments of candidate pairs are intersected fragment by fragment, and the counts summed per pair.
    A pair links when 100 * overlap >= threshold * union, in whole numbers.
 5. Components of links, by contraction, give the smallest identifier reached.
 
-N-grams are told apart by hashes of 48 bits beside their fragment's number.
+N-grams are told apart by hashes of 48 bits beside their fragment's number. Two n-grams of a pair of documents of 300 words
+each fall together with odds of 90,000 / (2**48 * fragments), which counts one shared n-gram too many; copies of a class in
+different sources are told by 32 bits and their n-grams. Keys that many rows have (a set, an n-gram, a leader) are dealt
+apart by their counts, not left to adaptive execution. Sources are numbered by task, so a task that runs again must read
+its rows in the same order, as scans of files do; a checksum of the names tells where it did not.
 
 Defined results: null, empty and blank texts have no n-grams and link with nothing; texts of fewer than k words are one
 n-gram; a null identifier gets its count but takes no part in linking; rows that repeat an identifier are one document
-with the links of each of its texts; an empty table gives an empty result; other columns are never read.
+with the links of each of its texts; an empty table gives an empty result; other columns are never read. Identifiers are
+64-bit integers.
 """
 
 from __future__ import annotations
@@ -29,19 +35,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import kernels
-from tidewright.llm.common import stage, table
+from tidewright.llm.common import spread_join, stage, table
 from tidewright.llm.graph import components
+from tidewright.llm.kernels import pack_parts, planes, unpack_parts, unplanes
 
 _NAME = 12
 _SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary())])
-_CUTS = pa.schema([("frag", pa.int32()), ("cut", pa.binary())])
-_SHARED = pa.schema([("bucket", pa.int32()), ("cut", pa.binary())])
-_OPEN = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("alpha", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_CUTS = pa.schema([("frag", pa.int32()), ("src", pa.int64()), ("cut", pa.binary())])
+_SHARED = pa.schema([("src", pa.int64()), ("cut", pa.binary())])
+_DIRECTORY, _SEGMENTS = b"D", b"S"
+_OPEN = pa.schema([("cls", pa.int64()), ("name", pa.binary()), ("n", pa.int64()), ("alpha", pa.int64()), ("grams", pa.list_(pa.int64()))])
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+_CLASS = 24  # bits of a class's number in its source
 
 
 def sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -68,18 +78,6 @@ def _from_six(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _packed(name: np.ndarray, n: np.ndarray, count: np.ndarray, *rest: bytes) -> bytes:
-    """Segments of m classes: m, names, set sizes, segment sizes, then the rest."""
-    return b"".join([np.int32(len(n)).tobytes(), name.tobytes(), n.astype("<i4").tobytes(), count.astype("<i4").tobytes(), *rest])
-
-
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    m = int(np.frombuffer(raw, "<i4", 1)[0])
-    name = np.frombuffer(raw, "<u4", 3 * m, 4).reshape(m, 3)
-    n, count = np.frombuffer(raw, "<i4", m, 4 + 12 * m), np.frombuffer(raw, "<i4", m, 4 + 16 * m)
-    return name, n, count, raw[4 + 20 * m :]
-
-
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Flags of where a new key begins in sorted rows."""
     new = np.ones(len(keys[0]), dtype=bool)
@@ -101,28 +99,35 @@ def document_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(name, "id long, n long, cls binary")
 
 
-def _cut_sets(texts: DataFrame, k: int, fragments: int, flush: int = 2_000_000) -> DataFrame:
-    """(frag, cut): the segments of the classes of each task's rows, packed by fragment."""
+def _cut_sets(texts: DataFrame, k: int, fragments: int, flush: int = 1_000_000) -> DataFrame:
+    """(frag, src, cut): the segments of the classes of each source, packed by fragment, and each source's directory."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         held: list[tuple] = []
-        total = 0
+        total, turn, task = 0, 0, TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
             names, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             shift = np.cumsum([0, *(len(x[1]) for x in held)])
             at, gram = np.concatenate([x[2] + s for x, s in zip(held, shift, strict=False)]), np.concatenate([x[3] for x in held])
+            held.clear()
+            check = int(kernels.mix(np.cumsum(kernels.mix(names.astype(np.uint64)), axis=0)).sum()) if len(names) else 0
+            src = task << 16 | turn
+            if turn >> 16 or len(n) >> _CLASS:
+                raise ValueError("too many sources or classes in a task")
             frag = ((gram >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.int32)
             order = np.argsort(frag, kind="stable")
             frag, at, gram = frag[order], at[order], gram[order]
+            short = kernels.mix(names[:, 0].astype(np.uint64) << np.uint64(32) | names[:, 1])
             stops = np.flatnonzero(_runs(frag))
-            rows: tuple[list, list] = ([], [])
-            for a, b in zip(stops, [*stops[1:], len(frag)], strict=True):
+            rows = [(src % fragments, pack_parts(_DIRECTORY, check, names.tobytes(), planes(n)))]
+            for a, b in zip(stops.tolist(), [*stops[1:].tolist(), len(frag)], strict=True):
                 own = np.flatnonzero(_runs(at[a:b]))
-                rows[0].append(int(frag[a]))
-                rows[1].append(_packed(names[at[a:b][own]], n[at[a:b][own]], np.diff([*own, b - a]), _six(gram[a:b])))
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], schema=_CUTS)
+                who = at[a:b][own]
+                told = kernels.mix(short[who] ^ np.uint64(frag[a] + 1)) & np.uint64(0xFFFFFFFF)
+                rows.append((int(frag[a]), pack_parts(_SEGMENTS, check, planes(np.diff(who, prepend=0)), told.astype("<u4").tobytes(), planes(np.diff([*own, b - a])), _six(gram[a:b]))))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([src] * len(rows), pa.int64()), pa.array([x[1] for x in rows], pa.binary())], schema=_CUTS)
 
         for batch in batches:
             for _, size, names, at, gram in sets(batch.column(1), k):
@@ -136,156 +141,191 @@ def _cut_sets(texts: DataFrame, k: int, fragments: int, flush: int = 2_000_000)
                 total += int(mine.sum())
                 if total >= flush:
                     yield out()
-                    held, total = [], 0
+                    seen.clear()
+                    total, turn = 0, turn + 1
         if total:
             yield out()
 
-    return texts.mapInArrow(cut, "frag int, cut binary")
-
-
-def _count_fragment(buckets: int):
-    """Of one fragment's segments: the n-grams that two or more classes hold, with their number, packed by bucket of class."""
-
-    def count(rows: pa.Table) -> pa.Table:
-        frag = rows.column("frag")[0].as_py()
-        names, sizes, counts, grams = zip(*(_unpacked(x.as_py()) for x in rows.column("cut")), strict=True)
-        gram = np.concatenate([_from_six(x) for x in grams])
-        names, sizes, counts = np.concatenate(names), np.concatenate(sizes), np.concatenate(counts)
+    return texts.mapInArrow(cut, "frag int, src long, cut binary")
+
+
+def _count_fragment(rows: pa.Table) -> pa.Table:
+    """Of one fragment's segments: the n-grams that two or more classes hold, with their number, by source. Directories pass."""
+    frag = rows.column("frag")[0].as_py()
+    out: tuple[list, list] = ([], [])
+    srcs, checks, who, told, counts, grams = [], [], [], [], [], []
+    for src, raw in zip(rows.column("src").to_pylist(), rows.column("cut"), strict=True):
+        raw = raw.as_py()
+        if raw[:1] == _DIRECTORY:
+            out[0].append(src)
+            out[1].append(raw)
+            continue
+        check, (a, b, c, d) = unpack_parts(raw, 4)
+        srcs.append(src)
+        checks.append(check)
+        who.append(np.cumsum(unplanes(a)).astype(np.int64))
+        told.append(np.frombuffer(b, "<u4"))
+        counts.append(unplanes(c).astype(np.int64))
+        grams.append(_from_six(d))
+    if srcs:
+        packet = np.repeat(np.arange(len(srcs)), [len(x) for x in who])
+        who, told, counts, gram = (np.concatenate(x) for x in (who, told, counts, grams))
         del grams
-        # copies of a class from several tasks count once
-        order = np.lexsort((names[:, 2], names[:, 1], names[:, 0]))
-        sorted_names = names[order]
-        first = _runs(sorted_names[:, 0], sorted_names[:, 1], sorted_names[:, 2])
-        use = np.zeros(len(names), dtype=bool)
-        use[order[first]] = True
-        owner = np.repeat(np.arange(len(names)), counts)
+        # of a class's copies from several sources the first source's counts and goes on, the same one in every fragment
+        total = np.add.reduceat(kernels.mix(gram), np.cumsum(counts) - counts)
+        source = np.array(srcs, dtype=np.int64)[packet]
+        order = np.lexsort((source, counts, total, told))
+        use = np.zeros(len(who), dtype=bool)
+        use[order[_runs(told[order], total[order], counts[order])]] = True
+        owner = np.repeat(np.arange(len(who), dtype=np.int32), counts)
         mine = use[owner]
         owner, gram = owner[mine], gram[mine]
         order = np.argsort(gram, kind="stable")
         owner, gram = owner[order], gram[order]
         new = _runs(gram)
-        held = np.diff([*np.flatnonzero(new), len(gram)])[np.cumsum(new) - 1] if len(gram) else np.zeros(0, np.int64)
+        held = np.diff([*np.flatnonzero(new), len(gram)])[np.cumsum(new) - 1]
         many = held > 1
-        owner, gram, held = owner[many], gram[many], held[many]
-        gram = kernels.mix(gram ^ kernels.mix(np.array([frag + 1], dtype=np.uint64) * _SALT))  # the fragment is part of the n-gram's name
-        bucket = (names[:, 0] % np.uint32(buckets)).astype(np.int64)
-        order = np.lexsort((owner, bucket[owner]))
+        owner, gram, held = owner[many], gram[many], np.minimum(held[many], 2**31 - 1)
+        order = np.argsort(owner, kind="stable")
         owner, gram, held = owner[order], gram[order], held[order]
-        b = bucket[owner]
-        stops = np.flatnonzero(_runs(b)) if len(b) else np.zeros(0, np.int64)
-        out: tuple[list, list] = ([], [])
-        for x, y in zip(stops, [*stops[1:], len(b)], strict=False):
+        p = packet[owner]
+        stops = np.flatnonzero(_runs(p)) if len(p) else np.zeros(0, np.int64)
+        for x, y in zip(stops.tolist(), [*stops[1:].tolist(), len(p)], strict=False):
             own = np.flatnonzero(_runs(owner[x:y]))
-            who = owner[x:y][own]
-            out[0].append(int(b[x]))
-            out[1].append(_packed(names[who], sizes[who], np.diff([*own, y - x]), gram[x:y].astype("<u8").tobytes(), np.minimum(held[x:y], 2**31 - 1).astype("<i4").tobytes()))
-        return pa.Table.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], schema=_SHARED)
-
-    return count
+            out[0].append(srcs[p[x]])
+            out[1].append(pack_parts(_SEGMENTS, checks[p[x]], np.int64(frag).tobytes(), planes(who[owner[x:y][own]]), planes(np.diff([*own, y - x])), _six(gram[x:y]), planes(held[x:y])))
+    return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], schema=_SHARED)
 
 
 def _put_together(threshold: int):
-    """Classes of one bucket that share enough n-grams to have a partner, their shared n-grams rarest first."""
+    """Classes of one source that share enough n-grams to have a partner, their shared n-grams rarest first."""
 
     def put(rows: pa.Table) -> pa.Table:
-        parts = [_unpacked(x.as_py()) for x in rows.column("cut")]
-        names, sizes, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        gram = np.concatenate([np.frombuffer(p[3], "<u8", int(p[2].sum())) for p in parts])
-        held = np.concatenate([np.frombuffer(p[3], "<i4", int(p[2].sum()), 8 * int(p[2].sum())) for p in parts])
-        order = np.lexsort((names[:, 2], names[:, 1], names[:, 0]))
-        s = names[order]
-        new = _runs(s[:, 0], s[:, 1], s[:, 2])
-        number = np.empty(len(names), dtype=np.int64)
-        number[order] = np.cumsum(new) - 1
-        names, sizes = s[new], sizes[order][new]
-        owner = np.repeat(number, counts)
+        names = sizes = told = None
+        owners, grams, helds, checks = [], [], [], set()
+        for raw in rows.column("cut"):
+            raw = raw.as_py()
+            if raw[:1] == _DIRECTORY:
+                told, (a, b) = unpack_parts(raw, 2)
+                names, sizes = np.frombuffer(a, "<u4").reshape(-1, 3), unplanes(b).astype(np.int64)
+                continue
+            check, (f, a, b, c, d) = unpack_parts(raw, 5)
+            checks.add(check)
+            owners.append(np.repeat(unplanes(a), unplanes(b)))
+            # the fragment is part of the n-gram's name
+            grams.append(kernels.mix(_from_six(c) ^ kernels.mix(np.frombuffer(f, "<u8") * _SALT + _SALT)))
+            helds.append(unplanes(d))
+        if checks and checks != {told}:
+            raise RuntimeError("a task that ran again read its rows in another order")
+        if not grams:
+            return pa.Table.from_batches([], schema=_OPEN)
+        owner, gram, held = (np.concatenate(x) for x in (owners, grams, helds))
+        del owners, grams, helds
         shared = np.bincount(owner, minlength=len(sizes))
-        alpha = -(-threshold * sizes.astype(np.int64) // 100)
+        alpha = -(-threshold * sizes // 100)
         keep = shared >= alpha
         mine = keep[owner]
         owner, gram, held = owner[mine], gram[mine], held[mine]
         order = np.lexsort((gram, held, owner))
-        owner, gram = owner[order], gram[order]
+        gram = gram[order]
         bounds = np.concatenate([[0], np.cumsum(shared[keep])])
         raw = names[keep].tobytes()
         return pa.Table.from_arrays([
-            pa.array([raw[i : i + _NAME] for i in range(0, len(raw), _NAME)], pa.binary()), pa.array(sizes[keep].astype(np.int64)), pa.array(alpha[keep]),
+            pa.array((rows.column("src")[0].as_py() << _CLASS) + np.flatnonzero(keep)), pa.array([raw[i : i + _NAME] for i in range(0, len(raw), _NAME)], pa.binary()), pa.array(sizes[keep]), pa.array(alpha[keep]),
             pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(gram.view(np.int64))),
         ], schema=_OPEN)
 
     return put
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, na, b, nb) that reach the threshold: overlaps counted fragment by fragment, then summed."""
+def _overlaps(pairs: DataFrame, segments: DataFrame, threshold: int, per_salt: int = 1000) -> DataFrame:
+    """The pairs (a, na, fan, b, nb) that reach the threshold: overlaps counted fragment by fragment, then summed.
+
+    fan: about how many pairs a is in; the segments of such an a are copied once per `per_salt` of them.
+    """
+    salts = F.ceil(F.col("fan") / per_salt).cast("long")
     # few pairs are broadcast by their size, and only their segments are dealt
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-    segments = segments.join(ends, "cls", "left_semi")
-    sa, sb = segments.select(F.col("cls").alias("a"), "part", F.col("grams").alias("ga")), segments.select(F.col("cls").alias("b"), "part", F.col("grams").alias("gb"))
-    partial = pairs.join(sa, "a").join(sb, ["b", "part"]).select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("common"))
+    ends = pairs.groupBy(F.col("a").alias("cls")).agg(F.max(salts).alias("salts"))
+    sa = segments.join(ends, "cls").select(F.col("cls").alias("a"), "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("grams").alias("ga"))
+    sb = segments.join(pairs.select(F.col("b").alias("cls")), "cls", "left_semi").select(F.col("cls").alias("b"), "part", F.col("grams").alias("gb"))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), salts))
+    partial = dealt.join(sb, "b").join(sa, ["a", "salt", "part"]).select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).alias("common"))
     summed = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return summed.filter(F.col("common") * (100 + threshold) >= threshold * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80, per_fragment: int = 4_000_000, parts: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80, per_fragment: int = 1_000_000, parts: int = 4, block: int = 1000) -> DataFrame:
     """(id, n, component) for every row of docs; threshold in hundredths, parts: fragments of the overlap count."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = stage(document_sets(texts, k), "sets")
-    classes = named.filter("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"))
-    fragments = max(1, -(-int(classes.agg(F.sum("n")).first()[0] or 0) // per_fragment))
-    shared = _cut_sets(texts.filter("id is not null"), k, fragments).groupBy("frag").applyInArrow(_count_fragment(fragments), "bucket int, cut binary")
-    opened = stage(shared.groupBy("bucket").applyInArrow(_put_together(threshold), "cls binary, n long, alpha long, grams array<long>"), "open")
+    classes = stage(named.filter("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n")), "classes")
+    size = classes.agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
+    fragments, n_rows = max(1, -(-int(size["n"] or 0) // per_fragment)), int(size["rows"] or 0)
+    shared = _cut_sets(texts.filter("id is not null"), k, fragments, min(per_fragment, 1_000_000)).groupBy("frag").applyInArrow(_count_fragment, "src long, cut binary")
+    opened = stage(shared.groupBy("src").applyInArrow(_put_together(threshold), "cls long, name binary, n long, alpha long, grams array<long>"), "open")
 
     # if this is the first n-gram that two sets share, they share no more than either has from here on (ra, rb); where it
     # isn't, the pair has met before under a looser bound
     fits = (100 + threshold) * F.least("ra", "rb") >= threshold * (F.col("na") + F.col("nb"))
     own = (F.col("n") - F.size("grams")) / F.col("n")  # the share of n-grams of its own: least for what others were made from
-    prefix = opened.select("cls", "n", own.alias("own"), F.size("grams").alias("s"), F.posexplode(F.slice("grams", 1, F.size("grams") - F.col("alpha").cast("int") + 1)).alias("at", "gram"))
+    prefix = opened.select("cls", "n", own.cast("float").alias("own"), F.size("grams").alias("s"), F.posexplode(F.slice("grams", 1, F.size("grams") - F.col("alpha").cast("int") + 1)).alias("at", "gram"))
     prefix = prefix.withColumn("rest", F.col("s") - F.col("at")).drop("s", "at")
     segment = lambda i: F.filter("grams", lambda g: F.pmod(g, F.lit(parts)) == i)
     segments = opened.select("cls", F.posexplode(F.array(*map(segment, range(parts)))).alias("part", "grams")).filter(F.size("grams") > 0)
-    prefix = stage(prefix, "prefixes")
-    reps = stage(classes.select("cls", "rep").join(opened.select("cls"), "cls", "left_semi"), "reps")
+    # n-grams of one list of one class connect nothing; the others' lists are known by their sizes from here on
+    sizes = stage(prefix.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
+    n_prefix = prefix.count()
+    prefix = stage(spread_join(prefix, sizes, "gram", "m", n_prefix), "prefixes")
+    reps = stage(classes.select(F.col("cls").alias("name"), "rep").join(opened.select("cls", "name"), "name"), "reps")
 
     def star(rows: DataFrame, order) -> DataFrame:
         """Pairs of each list's members with its first."""
-        lists = rows.groupBy("gram").agg(F.min(F.struct(order.alias("order"), "n", "cls", "component", "rest")).alias("lead"), F.count("*").alias("m")).filter("m > 1")
-        met = rows.join(lists.select("gram", F.col("lead.cls").alias("a"), F.col("lead.n").alias("na"), F.col("lead.component").alias("ca"), F.col("lead.rest").alias("ra")), "gram")
-        met = met.filter((F.col("component") != F.col("ca")) & (F.col("cls") != F.col("a"))).select("a", "na", "ra", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
-        return ordered(met.filter(fits)).distinct()
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        up = F.col("a") < F.col("b")
-        return pairs.select(*(F.when(up, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"))), *(F.when(up, F.col(y)).otherwise(F.col(x)).alias(y) for x, y in (("a", "b"), ("na", "nb"))))
-
-    def grouped(links: DataFrame, of: DataFrame) -> DataFrame:
-        """of (cls, component) with components joined by links."""
-        ends = links.join(of.select(F.col("cls").alias("a"), F.col("component").alias("x")), "a").join(of.select(F.col("cls").alias("b"), F.col("component").alias("y")), "b")
-        joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        new = of.join(joined, of["component"] == joined["id"], "left").select("cls", F.coalesce(joined["component"], of["component"]).alias("component"))
-        return stage(new, "class-components")
-
-    of = reps.withColumnRenamed("rep", "component")
-    done = None
-    for order in (F.col("own"), F.xxhash64("gram", "cls")):
-        pairs = star(prefix.join(of, "cls"), order)
-        pairs = stage(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        of = grouped(stage(_overlaps(pairs, segments, threshold), "links"), of)
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-    rows = prefix.join(of, "cls")
-    apart = rows.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gram")
-    rows = stage(rows.join(apart, "gram").select("gram", "cls", "n", "component", "rest"), "apart")
-    side = lambda x: rows.select("gram", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("rest").alias(f"r{x}"))
-    rest = side("a").join(side("b"), "gram").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "na", "b", "nb").distinct()
-    of = grouped(stage(_overlaps(stage(rest.join(done, ["a", "b"], "left_anti"), "pairs"), segments, threshold), "links"), of)
-
-    # documents that repeat an identifier with other texts join what their texts are in
-    of = classes.join(of, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"), "rows")
-    found = named.join(of.filter("rows > 1 or component is not null"), "cls", "left")
+        lists = rows.groupBy("gram").agg(F.min(F.struct(order.alias("order"), "n", "cls", "component", "rest")).alias("lead"), F.count("*").alias("size"))
+        lists = lists.select("gram", "size", F.col("lead.cls").alias("a"), F.col("lead.n").alias("na"), F.col("lead.component").alias("ca"), F.col("lead.rest").alias("ra"))
+        lists = stage(lists.join(lists.groupBy("a").agg(F.max("size").alias("fan")), "a"), "lists")
+        met = spread_join(rows, lists, "gram", "size", n_prefix)
+        met = met.filter((F.col("component") != F.col("ca")) & (F.col("cls") != F.col("a"))).select("a", "na", "fan", "ra", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+        return met.filter(fits).select("a", "na", "fan", "b", "nb").distinct()
+
+    def unmet(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+        if done is None:
+            return pairs
+        return pairs.join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+
+    links, met_pairs, rows = None, None, prefix.withColumn("component", F.col("cls"))
+    for order in (F.col("own"), F.xxhash64("gram", "cls"), None):
+        if order is not None:
+            pairs = stage(unmet(star(rows, order), met_pairs), "pairs")
+        else:
+            apart = rows.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x <> y").select("gram", "size")
+            apart = stage(apart, "apart-lists")
+            left = stage(spread_join(rows, apart, "gram", "size", n_prefix).withColumn("blocks", F.ceil(F.col("size") / block).cast("long")), "apart")
+            side = lambda x: [F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("rest").alias(f"r{x}")]
+            one = left.select("gram", F.col("size").alias("fan"), F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("salt"), *side("a"))
+            other = left.select("gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), *side("b"))
+            both = one.join(other, ["gram", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
+            pairs = stage(unmet(both.groupBy("a", "na", "b", "nb").agg(F.max("fan").alias("fan")), met_pairs), "pairs")
+        more = stage(_overlaps(pairs, segments, threshold), "links")
+        links = more if links is None else links.unionByName(more)
+        known = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        met_pairs = known if met_pairs is None else met_pairs.unionByName(known)
+        of = components(links)
+        if order is not None:
+            mine = of.withColumnRenamed("id", "cls")
+            rows = stage(prefix.join(mine, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "joined-prefixes")
+
+    # a component is named by a class so far, and has the smallest identifier of its classes
+    linked = stage(reps.select("cls", F.col("name").alias("set"), "rep").join(of.withColumnRenamed("id", "cls"), "cls"), "linked")
+    least = stage(linked.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("size")), "least")
+    of = spread_join(linked, least, "component", "size", linked.count()).select(F.col("set").alias("cls"), "least")
+    of = classes.join(of, "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"), "rep", "rows").filter("rows > 1 or least <> rep").drop("rep")
     alone = F.col("id").isNull() | (F.col("n") == 0)
-    found = found.select("id", "n", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"))
-    many = found.groupBy("id").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    if many.limit(1).count():
+    found = spread_join(named.filter(~alone), stage(of, "class-components"), "cls", "rows", n_rows, "left").select("id", "n", F.coalesce("least", "id").alias("component"))
+    found = found.unionByName(named.filter(alone).select("id", "n", F.col("id").alias("component")))
+    # documents that repeat an identifier with other texts join what their texts are in
+    if named.groupBy("id").count().filter("id is not null and count > 1").limit(1).count():
+        found = stage(found, "repeated")
+        many = found.groupBy("id").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
         across = components(found.join(many, "id").select(F.col("component").alias("a"), F.col("x").alias("b")))
         found = found.join(across.withColumnRenamed("component", "least").withColumnRenamed("id", "component"), "component", "left").select("id", "n", F.coalesce("least", "component").alias("component"))
     return found

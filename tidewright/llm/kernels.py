@@ -109,3 +109,24 @@ def shingles(hashed: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> tupl
     new = np.ones(len(at), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (hash_[1:] != hash_[:-1])
     return at[new], hash_[new]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by byte place, so that the zeros of small ones lie together and compress."""
+    return x.astype(np.uint32).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def pack_parts(kind: bytes, check: int, *parts: bytes) -> bytes:
+    """A packet: its kind, a checksum of what it came from, and the parts."""
+    return b"".join([kind, np.array([check, *map(len, parts)], dtype="<u8").tobytes(), *parts])
+
+
+def unpack_parts(raw: bytes, n: int) -> tuple[int, list[bytes]]:
+    """The checksum and the n parts."""
+    check, *sizes = np.frombuffer(raw, "<u8", n + 1, 1).tolist()
+    stops = np.cumsum([9 + 8 * n, *sizes]).tolist()
+    return check, [raw[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
