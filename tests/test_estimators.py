@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.functions import rff, subspace
 from tidewright.operators import grassmann, ipca, moments, nn, ridge, rolling
@@ -87,6 +88,9 @@ def test_grassmann_gradient_and_recovery():
     for way in ("svd", "qr"):
         assert subspace.distance(grassmann.fit(m, 2, retraction=way).gamma, d["W"]) < 0.2
     assert subspace.distance(grassmann.evolve(m, 2, 5).gamma, d["W"]) < 0.2
+    trust = grassmann.fit(m, 2, optimizer="tr")
+    assert subspace.distance(trust.gamma, d["W"]) < 0.2 and np.allclose(trust.gamma.T @ trust.gamma, np.eye(2))
+    assert grassmann.loss_and_gradient(trust.gamma, m, 1e-8)[0] <= grassmann.loss_and_gradient(grassmann.fit(m, 2).gamma, m, 1e-8)[0] + 1e-9
 
 
 def test_normalised_moments():
@@ -105,6 +109,96 @@ def test_subspaces():
     assert subspace.distance(e[:, :2], e[:, 2:4]) == pytest.approx(2**0.5 * np.pi / 2)
     assert subspace.effective_rank(np.eye(3)) == pytest.approx(3)
     assert subspace.random_baseline(4, 2) == pytest.approx((2 * 2 * 2 / 5) ** 0.5)
+    assert np.isnan(subspace.random_baseline(2, 2)) and np.isnan(subspace.random_baseline(2, 0))
+    with pytest.raises(ValueError):
+        subspace.distance(a, a, "other")
+
+
+def test_diagnostics_of_a_sequence():
+    e = np.eye(4)
+    turned = lambda x: np.cos(x) * e[:, :1] + np.sin(x) * e[:, 1:2]
+    rows = rolling.diagnostics([(turned(x), np.ones((1, 3))) for x in (0.0, 0.1, 0.4)])
+    assert "d_proj" not in rows[0] and rows[1]["grassmann_dist"] == pytest.approx(0.1) and "geodesic_acceleration" not in rows[1]
+    assert rows[2]["geodesic_acceleration"] == pytest.approx(2**0.5 * (np.sin(0.3) - np.sin(0.1)))
+    known = rolling.align_warm_factors(np.array([[1.0, 3.0]]), ["a", "c"], ["a", "b", "c"])
+    assert known.tolist() == [[1.0, 2.0, 3.0]] and rolling.align_warm_factors(np.ones((1, 1)), ["x"], ["a"]) is None
+
+
+def test_moments_of_many_characteristics(spark):
+    p = synthetic.factor_panel(spark, T=5, N=20, m=50, k=1, seed=4)
+    chars = [f"char_{i:03d}" for i in range(50)]
+    wide = moments.collect(moments.month_moments(p, chars), 50)
+    old, moments.MOST_EXPRESSIONS = moments.MOST_EXPRESSIONS, 100
+    try:
+        plain = moments.collect(moments.month_moments(p, chars), 50)
+    finally:
+        moments.MOST_EXPRESSIONS = old
+    assert wide.months == plain.months and all(np.allclose(getattr(wide, x), getattr(plain, x)) for x in ("A", "b", "yy", "n", "sz", "sy"))
+
+
+def test_rows_and_moments_fit_alike():
+    d, m = stacked(T=8, N=12)
+    t, n, size = d["Z"].shape
+    got = ipca.fit_rows(d["Z"].reshape(-1, size), d["r"].ravel(), np.repeat(np.arange(t), n), list(m.months), 2, 200, 1e-8, 0.5)
+    want = ipca.fit(m, 2, 200, 1e-8, 0.5)
+    assert np.allclose(got.gamma @ got.factors, want.gamma @ want.factors, atol=1e-5)
+
+
+def test_rolling_options(spark):
+    p = synthetic.factor_panel(spark, T=20, N=12, m=3, k=1, seed=2)
+    chars = [f"char_{i:03d}" for i in range(3)]
+    plain = lambda **o: {(r["permno"], r["month"]): r["y_pred"] for r in rolling.rolling_factors(p, chars, n_factors=1, min_obs=30, max_iter=40, **o)[0].collect()}
+    assert plain(warm_start=False) == pytest.approx(plain(warm_start=False, window=1000))  # in tasks
+    everyone = p.select("month", "permno")
+    assert plain(warm_start=False, universe=everyone) == pytest.approx(plain(warm_start=False), rel=1e-6, abs=1e-9)
+    few = p.filter("permno < 10005").select("month", "permno")
+    assert {k[0] for k in plain(universe=few, window=12)} == set(range(10000, 10005))
+    assert plain(universe=few.filter("false")) == {} and plain(intercept=True) != plain()
+    holes = p.withColumn("char_000", F.when(F.col("permno") != 10000, F.col("char_000")))
+    pred = rolling.rolling_factors(holes, chars, n_factors=1, min_obs=30, max_iter=40)[0]
+    assert pred.filter("permno = 10000 and y_pred is not null").count() == 0 and pred.filter("permno = 10000").count() == 8
+    for o in ({"normalize": "rolling"}, {"normalize": "frozen"}, {"warm_start": False}, {"estimator": "grassmann"}):
+        pred, diag = rolling.rolling_factors(p, chars, n_factors=1, min_obs=30, max_iter=15, window=12, universe=few, rff={"n": 6, "gamma": 0.3}, **o)
+        assert pred.count() == 8 * 5 and diag.count() == 8 and pred.filter("y_pred is null").count() == 0
+    many, _ = rolling.rolling_factors(p, chars, n_factors=1, min_obs=30, max_iter=5, window=12, universe=few, rff={"n": 300, "gamma": 0.3})  # more features than rows
+    assert many.count() == 40
+    with pytest.raises(ValueError):
+        rolling.rolling_factors(p, chars, rff={"n": 6})
+    with pytest.raises(ValueError):
+        ipca.predict(p, chars, ipca.Model(np.ones((3, 1)), np.ones((1, 1)), [p.first()["month"]]), mean_factor=False)
+
+
+def test_bootstrap_hypotheses(spark):
+    _, m = stacked(T=20, N=30)
+    few = {"draws": 5, "tasks": 2, "max_iter": 10}
+    with_ones = ipca.fit(m, 1, 50, psf=np.ones((1, 20)))
+    with_other = ipca.fit(m, 1, 50, psf=np.sin(np.arange(20.0))[None, :])
+    free = ipca.fit(m, 2, 50)
+    for found in (ipca.test_alpha(spark, with_ones, **few), ipca.test_delta(spark, with_other, **few), ipca.test_characteristic(spark, free, 1, **few)):
+        assert found[0] >= 0 and 0 <= found[1] <= 1
+    for wrong in (lambda: ipca.test_alpha(spark, free), lambda: ipca.test_delta(spark, with_ones), lambda: ipca.test_characteristic(spark, with_ones, 0), lambda: ipca.test_alpha(spark, with_ones, alpha=1.0)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_synthetic_modes():
+    base = synthetic.factor_data(T=20, N=40, m=4, k=1, seed=1, missing=0.2, missing_mode="mcar", intercept=True)
+    assert (base["Z"][:, :, 0] == 1).all() and 0.1 < (base["Z"][:, :, 1:] == 0).mean() < 0.3 and base["there"].all()
+    tail = synthetic.factor_data(T=20, N=400, m=2, k=1, seed=1, missing=0.2, missing_mode="tail", impute="mean")
+    full = synthetic.factor_data(T=20, N=400, m=2, k=1, seed=1)
+    gone = ~np.isclose(tail["Z"], full["Z"])
+    assert np.abs(full["Z"][gone]).mean() > np.abs(full["Z"][~gone]).mean() and 0.1 < gone.mean() < 0.3
+    assert np.isfinite(synthetic.factor_data(tail_df=np.inf, z_drift=0.1)["r"]).all()
+    with pytest.raises(ValueError):
+        synthetic.factor_data(missing_mode="x")
+
+
+def test_perceptron_grid_and_exact_gelu(spark):
+    grid = nn.config_grid(spark)
+    assert grid.count() == grid.distinct().count() == 144
+    act, slope = nn._ACT["gelu"]
+    x = np.linspace(-3, 3, 13)
+    assert act(x)[8] == pytest.approx(x[8] * 0.8413447460685429) and np.allclose((act(x + 1e-6) - act(x - 1e-6)) / 2e-6, slope(x))
 
 
 def test_perceptron_learns_and_validates():

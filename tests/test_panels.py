@@ -123,22 +123,113 @@ def test_notebook_source(spark, tmp_path):
 
     from tidewright.sources import notebook
 
+    png = "iVBORw0K\nGgo="
     p = tmp_path / "n.ipynb"
     p.write_text(json.dumps({"cells": [
-        {"cell_type": "code", "source": ["a"], "outputs": [{"output_type": "stream", "text": ["OOS R2: -0.0023\n", "R2 = 0.5"]}, {"output_type": "display_data", "data": {"image/png": "xx"}}]},
-        {"cell_type": "code", "source": ["b"], "outputs": [{"output_type": "error", "ename": "KeyError", "evalue": "a_b"}]},
+        {"cell_type": "code", "source": ["monthly_r2", ".plot()"], "outputs": [
+            {"output_type": "stream", "text": ["OOS R2: -0.0023\n", "Overall OOS R^2 (k=3): 1.5e-2, R2 = 0.5"]},
+            {"output_type": "display_data", "data": {"image/png": png, "text/plain": ["<Figure>"]}},
+        ]},
+        {"cell_type": "code", "source": "x", "outputs": [
+            {"output_type": "execute_result", "data": {"text/plain": "OOS R²: +0.25"}},
+            {"output_type": "error", "ename": "KeyError", "evalue": "a_b"}, {"output_type": "display_data", "data": {"image/png": [png, "\n"]}},
+        ]},
         {"cell_type": "markdown", "source": ["c"]},
+        {"cell_type": "code", "source": [], "outputs": []},
     ]}))
-    assert [r["r2"] for r in notebook.metrics(spark, str(p)).orderBy("r2").collect()] == [-0.0023, 0.5]
-    assert "KeyError: a_b" in notebook.report(spark, str(p)) and r"a\_b" in notebook.report(spark, str(p), latex=True)
+    assert [r["r2"] for r in notebook.metrics(spark, str(p)).orderBy("cell", "output", "place").collect()] == [-0.0023, 0.015, 0.25]
+    found = notebook.figures(spark, str(p)).orderBy("number").collect()
+    assert [(r["cell"], r["output"], r["caption"], r["name"]) for r in found] == [(0, 1, "Monthly OOS R^2", "plot_01_cell0_out1.png"), (1, 2, "Notebook plot 2 (cell 1)", "plot_02_cell1_out2.png")]
+    assert bytes(found[0]["content"]).startswith(b"\x89PNG")
+    assert len(notebook.write_figures(spark, str(p), str(tmp_path / "f"))) == 2 and (tmp_path / "f" / "plot_01_cell0_out1.png").read_bytes().startswith(b"\x89PNG")
+    plain, tex = notebook.report(spark, str(p)), notebook.report(spark, str(p), latex=True)
+    assert "Cell 1: KeyError - a_b" in plain and "Overall OOS R^2 (1): -0.0023" in plain and "(figures/plot_01_cell0_out1.png)" in plain
+    assert r"KeyError - a\_b" in tex and tex.endswith("\\end{document}\n")
 
 
 def test_sweep_matches_single_runs(spark):
     import numpy as np
 
+    from tidewright.functions import rff
+
     rows = [(dt.date(2000 + i // 12, i % 12 + 1, 1), float(np.sin(i)), float(np.cos(2 * i)) / 10) for i in range(30)]
     df = spark.createDataFrame(rows, "month date, x double, y double")
     got = ridge.sweep(ridge.grid(spark, [1.0], [6], [1.0, 10.0], [3]), df, ["x"], "y").filter("z = 10").orderBy("month").collect()
-    phi = ridge.sweep_features(np.array([[r[1]] for r in rows]), 6, 1.0, 3)
+    phi = rff.expand(np.array([[r[1]] for r in rows]), rff.frequencies(1, 3, 1.0, 3))
     f, _ = ridge.backtest(phi @ phi.T, np.array([r[2] for r in rows]), 10.0, 12)
     assert np.allclose([r["forecast"] for r in got], f[12:])
+
+
+def test_grid_is_every_run_once(spark):
+    from itertools import product
+
+    lists = [0.5, 2.0], [2, 4, 6], [1.0, 10.0], [1, 2, 3]
+    got = ridge.grid(spark, *lists)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(product(*lists)) and got.rdd.getNumPartitions() == 1
+    full = ridge.complexity_grid(spark)
+    assert full.count() == full.distinct().count() > 1_900_000
+
+
+def test_penalties_share_a_decomposition(spark):
+    import numpy as np
+
+    rows = [(dt.date(2000 + i // 12, i % 12 + 1, 1), float(np.sin(i)), float(np.cos(3 * i)), float(np.cos(2 * i)) / 10) for i in range(30)]
+    df = spark.createDataFrame(rows, "month date, x double, v double, y double")
+    grid = ridge.penalty_grid(df, ["x", "v"], "y", [0.1, 10.0])
+    for z in (0.1, 10.0):
+        one = ridge.rolling_ridge(df, ["x", "v"], "y", penalty=z).orderBy("month").collect()
+        many = grid.filter(F.col("z") == z).orderBy("month").collect()
+        assert np.allclose([r["forecast"] for r in one], [r["forecast"] for r in many]) and np.allclose([r["coefficient_norm"] for r in one], [r["coefficient_norm"] for r in many])
+
+
+def test_asof_over_months(spark):
+    days = [dt.date(2000, 1, 5), dt.date(2000, 1, 20), dt.date(2000, 4, 2), dt.date(1999, 12, 31), None]
+    left = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "d date, i int")
+    right = spark.createDataFrame([(dt.date(2000, 1, 1), 1.0), (dt.date(2000, 1, 20), 2.0), (dt.date(2000, 2, 10), 3.0), (dt.date(2000, 3, 1), None), (None, 9.0)], "t date, v double")
+    got = {r["i"]: r["v"] for r in series.asof(left, right, "d", "t", "v").collect()}
+    assert got == {0: 1.0, 1: 2.0, 2: 3.0, 3: None, 4: None}
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, y = rng.standard_normal(3000), rng.integers(0, 4, 3000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b) if i % 3 else None, None) for i, (a, b) in enumerate(zip(x, y, strict=True))], "x double, y double, n double")
+    got = clean.exact_percentiles(df, {"x": [0.0, 0.01, 0.5, 0.99, 1.0], "y": [0.5, 0.25], "n": [0.5]}, accuracy=100)
+    assert np.allclose(got["x"], np.quantile(x, [0, 0.01, 0.5, 0.99, 1])) and np.allclose(got["y"], np.quantile(y[np.arange(3000) % 3 > 0], [0.5, 0.25])) and got["n"] == [None]
+
+
+def test_signals_and_index_returns(spark):
+    from tidewright.sources import panel
+
+    raw = spark.createDataFrame([(2, "200002", 1.0), (1, "200001", 2.0), (None, "200001", 3.0), (1, "bad", 4.0), (1, "200012", 5.0)], "permno long, yyyymm string, x double")
+    assert [(r["permno"], str(r["yyyymm"])) for r in panel.read_signals(raw, "2000-01-15", "2000-06-30").collect()] == [(1, "2000-01-01"), (2, "2000-02-01")]
+    day = dt.date
+    returns = spark.createDataFrame([(1, day(2000, 1, 31), 0.1), (1, day(2000, 2, 29), None), (2, day(2000, 1, 31), 0.2), (1, day(1990, 1, 31), 0.5)], "permno long, date date, ret double")
+    spells = spark.createDataFrame([(1, day(1980, 1, 1), None), (2, day(2000, 2, 1), None)], "permno long, start date, ending date")
+    last = spark.createDataFrame([(1, day(2000, 2, 29), -0.5)], "permno long, dlstdt date, dlret double")
+    got = panel.index_returns(returns, spells, last, "1995-01-01").collect()
+    assert [(r["permno"], str(r["yyyymm"]), r["ret_adj"]) for r in got] == [(1, "2000-01-01", pytest.approx(0.1)), (1, "2000-02-01", -0.5)]
+    assert "ret_adj" not in panel.index_returns(returns, spells).columns
+
+
+def test_folders_and_nested_tables(spark, tmp_path):
+    from tidewright.sources import panel
+
+    panel.ensure_dirs(spark, str(tmp_path / "a" / "b"))
+    assert (tmp_path / "a" / "b").is_dir()
+    one = spark.createDataFrame([(1,)], "x int")
+    panel.write_nested({"r1": one, "r2": one}, str(tmp_path / "n"))
+    assert sorted(r["run"] for r in spark.read.parquet(str(tmp_path / "n")).collect()) == ["r1", "r2"]
+
+
+def test_subset_command(spark, tmp_path, monkeypatch):
+    from tidewright.plans import subset
+
+    rows = [(i % 4, dt.date(2000 + m // 12, m % 12 + 1, 1), float(m), float(i * m), float(m - i)) for i in range(8) for m in range(30) if i < 4]
+    src, out = str(tmp_path / "p"), str(tmp_path / "o.csv")
+    spark.createDataFrame(rows, "permno long, month date, ret double, f1 double, f2 double").write.parquet(src)
+    subset.main([src, out, "--target", "ret", "--factors", "1", "--ids", "2", "--years", "1"], spark)
+    got = spark.read.csv(out, header=True)
+    assert got.count() == 12 and len(got.columns) == 4

@@ -41,9 +41,14 @@ def rff(columns: list[str], gamma: float = 2.0, n_features: int = 6000, seed: in
     return features(F.struct(*columns))
 
 
-def expand_panel(df, columns: list[str], gamma: float, n_features: int, seed: int, prefix: str = "f"):
-    """df with its columns replaced by one fixed map's 2 * n_features features, the same for all months and windows."""
+def expand_panel(df, columns: list[str], gamma: float, n_features: int, seed: int, prefix: str = "f", as_array: bool | None = None):
+    """df with its columns replaced by one fixed map's 2 * n_features features, the same for all months and windows.
+
+    as_array: one array column named by the prefix instead of a column each; the default beyond a hundred features.
+    """
     made = df.withColumn("__f", rff(columns, gamma, n_features, seed))
+    if as_array if as_array is not None else n_features > 50:
+        return made.select(*(c for c in df.columns if c not in columns), F.col("__f").alias(prefix))
     return made.select(*(c for c in df.columns if c not in columns), *(F.col("__f")[i].alias(f"{prefix}_{i:03d}") for i in range(2 * n_features)))
 
 

@@ -38,18 +38,22 @@ def principal_angles(a: np.ndarray, b: np.ndarray, basis: np.ndarray | None = No
     return np.arccos(np.clip(s, -1, 1))[::-1]
 
 
+#: Distances as norms of the principal angles.
+METRICS = {
+    "geodesic": lambda angles: np.linalg.norm(angles),
+    "chordal": lambda angles: np.linalg.norm(np.sin(angles)),
+    "projection": lambda angles: np.sqrt(2.0) * np.linalg.norm(np.sin(angles)),
+}
+
+
 def distance(a: np.ndarray, b: np.ndarray, metric: str = "geodesic", basis: np.ndarray | None = None) -> float:
-    angles = principal_angles(a, b, basis)
-    if metric == "geodesic":
-        return float(np.sqrt((angles**2).sum()))
-    chordal = float(np.sqrt((np.sin(angles) ** 2).sum()))
-    if metric == "chordal":
-        return chordal
-    if metric == "projection":
-        return 2**0.5 * chordal
-    raise ValueError("metric must be geodesic, chordal or projection")
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {', '.join(METRICS)}")
+    return float(METRICS[metric](principal_angles(a, b, basis)))
 
 
 def random_baseline(ambient: int, k: int) -> float:
-    """Typical projection distance of two random subspaces."""
+    """Typical projection distance of two random subspaces; NaN where a subspace fills the space or is none."""
+    if not 0 < k < ambient:
+        return float("nan")
     return float(np.sqrt(2 * k * (ambient - k) / (ambient + 1)))

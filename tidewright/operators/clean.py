@@ -24,6 +24,39 @@ def drop_sparse_columns(df: DataFrame, most: float = 0.6, protected: tuple[str,
     return df.drop(*(c for c in columns if (shares[c] or 0) > most))
 
 
+def exact_percentiles(df: DataFrame, asked: dict[str, list[float]], accuracy: int = 100_000) -> dict[str, list[float | None]]:
+    """Exact interpolated percentiles of whole columns, in two passes of bounded aggregates.
+
+    A sketch of `accuracy` brackets each rank within about 2 / accuracy of the rows; the second pass counts what lies below
+    the bracket and gathers only the distinct values inside it with their counts.
+    """
+    edge = 2.0 / accuracy
+    around = lambda q: F.array(*(F.lit(min(max(x, 0.0), 1.0)) for x in (q - edge, q + edge)))
+    keys = [(c, q) for c, qs in asked.items() for q in qs]
+    known = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
+    first = df.agg(*(F.count(known(c)).alias(f"n_{i}") for i, (c, _) in enumerate(keys)), *(F.percentile_approx(known(c), around(q), accuracy).alias(f"e_{i}") for i, (c, q) in enumerate(keys))).first()
+    used = [i for i in range(len(keys)) if first[f"n_{i}"]]
+    found: dict[int, float | None] = dict.fromkeys(range(len(keys)))
+    if used:
+        lo, hi = ({i: first[f"e_{i}"][side] for i in used} for side in (0, 1))
+        low = [F.sum((known(keys[i][0]) < lo[i]).cast("long")).alias(f"b_{i}") for i in used]
+        below = df.agg(*low).first()
+        for i in used:
+            c, q = keys[i]
+            inside = df.filter(known(c).between(lo[i], hi[i])).groupBy(known(c).alias("v")).count().orderBy("v").collect()
+            rank = (first[f"n_{i}"] - 1) * q
+            at, seen, values = int(rank), below[f"b_{i}"] or 0, []
+            for r in inside:
+                seen += r["count"]
+                while len(values) < 2 and seen > at + len(values):
+                    values.append(r["v"])
+            found[i] = values[0] + (rank - at) * (values[1] - values[0]) if len(values) > 1 and rank > at else values[0]
+    out: dict[str, list[float | None]] = {c: [] for c in asked}
+    for i, (c, _) in enumerate(keys):
+        out[c].append(found[i])
+    return out
+
+
 def fill_missing(df: DataFrame, columns: list[str], month: str = "month", past_only: bool = False) -> DataFrame:
     """NULLs become the month's median; what is left, the median of all rows (taken before the first step), or with
     past_only the median of the months' medians strictly before.
@@ -36,8 +69,8 @@ def fill_missing(df: DataFrame, columns: list[str], month: str = "month", past_o
         medians = medians.withColumns({f"__g_{c}": F.percentile(f"__m_{c}", F.lit(0.5)).over(before) for c in columns})
         rows = df.join(medians, month, "left")
     else:
-        whole = df.agg(*(F.median(c).alias(f"__g_{c}") for c in columns))
-        rows = df.join(medians, month, "left").crossJoin(F.broadcast(whole))  # one row
+        whole = exact_percentiles(df, {c: [0.5] for c in columns})
+        rows = df.join(medians, month, "left").withColumns({f"__g_{c}": F.lit(whole[c][0]).cast("double") for c in columns})
     return rows.select(*(F.coalesce(c, f"__m_{c}", f"__g_{c}").alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
@@ -126,11 +159,14 @@ def normalise(train: DataFrame, test: DataFrame, columns: list[str], clip: tuple
     a, b = scaled(train), scaled(test)
     if clip is None:
         return a, b
-    bounds = a.agg(*(F.percentile(c, F.lit(q / 100)).alias(f"__{n}_{c}") for c in columns for n, q in zip(("lo", "hi"), clip, strict=True)))
+    bounds = exact_percentiles(a, {c: [q / 100 for q in clip] for c in columns})
 
     def clipped(df: DataFrame) -> DataFrame:
-        keep = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(c, f"__lo_{c}"), F.col(f"__hi_{c}"))).alias(c)
-        return df.crossJoin(F.broadcast(bounds)).select(*(keep(c) if c in columns else F.col(c) for c in df.columns))
+        def keep(c: str):
+            lo, hi = (F.lit(v).cast("double") for v in bounds[c])
+            return F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), lo), hi)).alias(c)
+
+        return df.select(*(keep(c) if c in columns else F.col(c) for c in df.columns))
 
     return clipped(a), clipped(b)
 

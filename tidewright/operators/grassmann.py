@@ -37,14 +37,60 @@ def retract(w: np.ndarray, step: np.ndarray, method: str = "svd") -> np.ndarray:
     return q * np.where(np.diag(r) < 0, -1.0, 1.0)
 
 
+def trust_regions(w: np.ndarray, m: Moments, shrink: float, max_iter: int, tol: float, retraction: str, inner: int = 30) -> tuple[np.ndarray, int]:
+    """(loadings, iterations): each step minimises a quadratic model within a radius by truncated conjugate gradients; the
+    Hessian along a direction is a central difference of gradients, carried back to the tangent space."""
+    flat = lambda w, x: x - w @ (w.T @ x)
+    gradient = lambda w: flat(w, loss_and_gradient(w, m, shrink)[1])
+    widest = np.pi / 2 * np.sqrt(w.shape[1])
+    radius, loss, turn = widest / 8, loss_and_gradient(w, m, shrink)[0], 0
+    while turn < max_iter and np.linalg.norm(g := gradient(w)) > tol:
+
+        def curve(x: np.ndarray, w=w) -> np.ndarray:
+            h = 1e-5 / max(np.linalg.norm(x), 1e-300)
+            return flat(w, gradient(retract(w, h * x, retraction)) - gradient(retract(w, -h * x, retraction))) / (2 * h)
+
+        s, r, d, hs = np.zeros_like(w), g, -g, np.zeros_like(w)
+        for _ in range(inner):
+            hd = curve(d)
+            bend, size = float((d * hd).sum()), float((r * r).sum())
+            a = size / bend if bend > 0 else np.inf
+            if not np.isfinite(a) or np.linalg.norm(s + a * d) >= radius:  # on to the edge
+                dd, sd, ss = float((d * d).sum()), float((s * d).sum()), float((s * s).sum())
+                a = (-sd + np.sqrt(max(sd * sd + dd * (radius * radius - ss), 0.0))) / dd
+                s, hs = s + a * d, hs + a * hd
+                break
+            s, hs, r = s + a * d, hs + a * hd, r + a * hd
+            if (left := float((r * r).sum())) <= size * 1e-2 or left <= tol * tol:
+                break
+            d = -r + left / size * d
+        new = retract(w, s, retraction)
+        new_loss = loss_and_gradient(new, m, shrink)[0]
+        said = -float((g * s).sum() + 0.5 * (s * hs).sum())
+        kept = (loss - new_loss) / said if said > 0 else -1.0
+        if kept < 0.25:
+            radius /= 4
+        elif kept > 0.75 and np.linalg.norm(s) >= 0.99 * radius:
+            radius = min(2 * radius, widest)
+        if kept > 0.1:
+            w, loss = new, new_loss
+        elif radius < 1e-12:
+            break
+        turn += 1
+    return w, turn
+
+
 def fit(m: Moments, k: int, shrink: float = 1e-8, max_iter: int = 200, tol: float = 1e-6, retraction: str = "svd", optimizer: str = "cg", beta_rule: str = "PolakRibiere", warm: np.ndarray | None = None, seed: int = 0) -> Model:
-    """Riemannian conjugate gradient (or steepest descent) with backtracking, from a warm or a seeded random start."""
+    """Riemannian conjugate gradient (or steepest descent) with backtracking, or trust regions, from a warm or a seeded random start."""
     size = m.b.shape[1]
     if not 0 < k <= size:
         raise ValueError("0 < k <= characteristics")
-    if optimizer not in ("cg", "sd") or retraction not in ("svd", "qr"):
-        raise ValueError("optimizer cg or sd, retraction svd or qr")
+    if optimizer not in ("cg", "sd", "tr") or retraction not in ("svd", "qr"):
+        raise ValueError("optimizer cg, sd or tr, retraction svd or qr")
     w = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, k)) if warm is None else warm)[0]
+    if optimizer == "tr":
+        w, turn = trust_regions(w, m, shrink, max_iter, tol, retraction)
+        return Model(w, factors(w, m, shrink), list(m.months), turn, k, m)
     loss, g = loss_and_gradient(w, m, shrink)
     g = g - w @ (w.T @ g)
     d, step, turn = -g, 1.0 / max(np.linalg.norm(g), 1e-12), 0

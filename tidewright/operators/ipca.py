@@ -81,11 +81,9 @@ def identify(gamma: np.ndarray, factors: np.ndarray, k: int) -> tuple[np.ndarray
     return np.hstack([g * sign, h]), np.vstack([f * sign[:, None], p])
 
 
-def fit(m: Moments, n_factors: int = 1, max_iter: int = 10_000, tol: float = 1e-5, alpha: float = 0.0, l1_ratio: float = 0.0, psf: np.ndarray | None = None, warm: np.ndarray | None = None, portfolio: bool | None = None) -> Model:
-    """Alternating least squares to the largest change. portfolio: each month counts the same (the default when alpha is 0)."""
-    portfolio = alpha == 0 if portfolio is None else portfolio
-    if portfolio:  # the factor step is the same; the Gamma step uses moments weighted by observations, as the panel's does
-        pass
+def fit(m: Moments, n_factors: int = 1, max_iter: int = 10_000, tol: float = 1e-5, alpha: float = 0.0, l1_ratio: float = 0.0, psf: np.ndarray | None = None, warm: np.ndarray | None = None, warm_factors: np.ndarray | None = None) -> Model:
+    """Alternating least squares to the largest change. Every month weighs as much as it has observations, of panels and of
+    managed portfolios alike. warm: loadings to start from; warm_factors: what the first step's factors are compared with."""
     if n_factors > m.b.shape[1]:
         raise ValueError("more factors than characteristics")
     k = n_factors
@@ -97,7 +95,7 @@ def fit(m: Moments, n_factors: int = 1, max_iter: int = 10_000, tol: float = 1e-
         gamma = u[:, :k] if u.shape[1] >= k else np.eye(len(u))[:, :k]
         if psf is not None:
             gamma = np.hstack([gamma, np.zeros((len(gamma), len(psf)))])
-    factors, turn = None, 0
+    factors, turn = warm_factors, 0
     while turn <= max_iter:
         latent = factor_step(gamma, m, psf) if k else np.zeros((0, len(m.n)))
         full = latent if psf is None else np.vstack([latent, psf])
@@ -111,6 +109,34 @@ def fit(m: Moments, n_factors: int = 1, max_iter: int = 10_000, tol: float = 1e-
     return Model(gamma, factors, list(m.months), turn, k, m)
 
 
+def fit_rows(z: np.ndarray, y: np.ndarray, at: np.ndarray, months: list, n_factors: int, max_iter: int, tol: float, alpha: float, warm: np.ndarray | None = None) -> Model:
+    """fit() with a ridge penalty from rows, for more characteristics than moments can hold: month number `at` of each row.
+
+    With n rows and L characteristics the Gamma step solves n equations in the dual instead of L * K.
+    """
+    t, inner = len(months), z @ z.T
+    rows = [np.flatnonzero(at == i) for i in range(t)]
+    if warm is None:
+        q = np.stack([z[r].T @ y[r] / len(r) for r in rows], axis=1)
+        u, _, _ = np.linalg.svd(q, full_matrices=False)
+        gamma = u[:, :n_factors] if u.shape[1] >= n_factors else np.eye(len(u))[:, :n_factors]
+    else:
+        gamma = warm
+    factors, turn = None, 0
+    while turn <= max_iter:
+        seen = z @ gamma
+        new_f = np.stack([np.linalg.lstsq(seen[r].T @ seen[r], seen[r].T @ y[r], rcond=None)[0] for r in rows], axis=1)
+        weight = np.linalg.solve(inner * (new_f.T @ new_f)[np.ix_(at, at)] + max(alpha, 1e-10) * np.eye(len(y)), y)
+        new, moved = identify(z.T @ (weight[:, None] * new_f.T[at]), new_f, n_factors)
+        change = np.abs(new - gamma).max()
+        if factors is not None:
+            change = max(change, np.abs(moved - factors).max())
+        gamma, factors, turn = new, moved, turn + 1
+        if change < tol:
+            break
+    return Model(gamma, factors, list(months), turn, n_factors)
+
+
 def dot(chars: list[str], weights: np.ndarray) -> Column:
     """Sum of characteristics by weights, a plain expression."""
     total = F.lit(0.0)
@@ -120,9 +146,11 @@ def dot(chars: list[str], weights: np.ndarray) -> Column:
 
 
 def predict(df: DataFrame, chars: list[str], model: Model, mean_factor: bool = True, month: str = "month", name: str = "y_pred") -> DataFrame:
-    """df with predictions: Z Gamma times the mean factor, or times the month's own; months not fitted give NULL then."""
+    """df with predictions: Z Gamma times the mean factor, or times the month's own; months not fitted are an error then."""
     if mean_factor:
         return df.withColumn(name, dot(chars, model.mean_loading()))
+    if unseen := [r[0] for r in df.select(month).distinct().collect() if r[0] not in set(model.months)]:  # a row per month
+        raise ValueError(f"months without factors: {unseen[:5]}")
     rows = [(t, [float(v) for v in model.gamma @ model.factors[:, i]]) for i, t in enumerate(model.months)]
     loadings = F.broadcast(df.sparkSession.createDataFrame(rows, "__t date, __g array<double>"))  # a row per month
     total = F.aggregate(F.zip_with(F.array(*chars), "__g", lambda x, g: x * g), F.lit(0.0), lambda s, v: s + v)
@@ -202,3 +230,34 @@ def bootstrap(spark: SparkSession, model: Model, columns: list[int] | None = Non
     found = spark.range(0, draws, 1, min(tasks, draws)).mapInPandas(run, "draw long, statistic double")
     p = found.agg(F.avg((F.col("statistic") > statistic).cast("double"))).first()[0]
     return statistic, float(p), found
+
+
+def _may_bootstrap(model: Model, alpha: float) -> None:
+    if alpha > 0:
+        raise ValueError("a regularised fit can't be bootstrapped")
+    if model.moments is None:
+        raise ValueError("the model has no moments")
+
+
+def test_alpha(spark: SparkSession, model: Model, alpha: float = 0.0, **options) -> tuple[float, float, DataFrame]:
+    """Bootstrap test that the intercept's loadings are zero; the intercept is the last pre-specified factor, of ones."""
+    _may_bootstrap(model, alpha)
+    if model.factors.shape[0] == model.free or not np.allclose(model.factors[-1], 1.0):
+        raise ValueError("the model was fitted without an intercept")
+    return bootstrap(spark, model, [model.gamma.shape[1] - 1], **options)
+
+
+def test_characteristic(spark: SparkSession, model: Model, row: int, alpha: float = 0.0, **options) -> tuple[float, float, DataFrame]:
+    """Bootstrap test that one characteristic has no loading on any latent factor."""
+    _may_bootstrap(model, alpha)
+    if model.factors.shape[0] > model.free:
+        raise ValueError("the model has pre-specified factors")
+    return bootstrap(spark, model, row=row, **options)
+
+
+def test_delta(spark: SparkSession, model: Model, alpha: float = 0.0, **options) -> tuple[float, float, DataFrame]:
+    """Bootstrap test that the loadings of the one pre-specified factor are zero."""
+    _may_bootstrap(model, alpha)
+    if model.factors.shape[0] != model.free + 1 or np.allclose(model.factors[-1], 1.0):
+        raise ValueError("the model needs one pre-specified factor and no intercept")
+    return bootstrap(spark, model, [model.gamma.shape[1] - 1], **options)

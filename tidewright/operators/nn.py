@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.operators.ridge import RESULT, map_configs
 
+_erf = np.vectorize(math.erf, otypes=[float])
+
+
+def _phi(a: np.ndarray) -> np.ndarray:
+    """The standard normal distribution function."""
+    return 0.5 * (1 + _erf(a / math.sqrt(2)))
+
+
 _ACT = {
     "relu": (lambda a: np.maximum(a, 0), lambda a: (a > 0).astype(float)),
     "tanh": (np.tanh, lambda a: 1 - np.tanh(a) ** 2),
-    "gelu": (
-        lambda a: 0.5 * a * (1 + np.tanh(0.7978845608 * (a + 0.044715 * a**3))),
-        lambda a: 0.5 * (1 + np.tanh(u := 0.7978845608 * (a + 0.044715 * a**3))) + 0.5 * a * (1 - np.tanh(u) ** 2) * 0.7978845608 * (1 + 0.134145 * a**2),
-    ),
+    "gelu": (lambda a: a * _phi(a), lambda a: _phi(a) + a * np.exp(-a * a / 2) / math.sqrt(2 * math.pi)),
 }
 
 
@@ -75,18 +83,33 @@ def static_return(pred: np.ndarray, ret: np.ndarray) -> float:
     return float(np.prod(1 + pred * ret) - 1)
 
 
+#: Columns of a configuration beside the window's: what a row may leave out, and its value then.
+DEFAULTS = {"act": "tanh", "epochs": 100, "batch": 32, "rate": 1e-3, "seed": 0}
+
+
+def config_grid(spark: SparkSession, dropouts=(0.1, 0.25, 0.5, 1.0), layers=(1, 2, 4, 8), windows=(12, 36, 60), widths=(32, 64, 128)) -> DataFrame:
+    """(dropout, layers, window, width) of the study's grid, 144 runs."""
+    return spark.createDataFrame(list(itertools.product(dropouts, layers, windows, widths)), "dropout double, layers int, window int, width int")
+
+
 def rolling_nn(configs: DataFrame, series: DataFrame, features: list[str], target: str, month: str = "month") -> DataFrame:
-    """Backtests of (width, layers, dropout, window, epochs, seed) rows, a configuration per task; the series is short."""
+    """Backtests of configurations (width, layers, dropout, window, and any of DEFAULTS), a configuration per task; the
+    series is short and travels with the tasks."""
     local = series.dropna(subset=[*features, target]).orderBy(month).select(month, *features, target).toPandas()
     months, x, y = np.array(list(local[month]), dtype=object), local[features].to_numpy(dtype=float), local[target].to_numpy(dtype=float)
 
-    def run(c) -> pd.DataFrame:
-        t0 = int(c["window"])
-        out = []
+    def run(given) -> pd.DataFrame:
+        c = DEFAULTS | dict(given)
+        t0, out = int(c["window"]), []
         for t in range(t0, len(y)):
-            net = Perceptron(x.shape[1], (int(c["width"]),) * int(c["layers"]), "tanh", float(c["dropout"]), int(c["seed"]))
-            out.append(float(net.fit(x[t - t0 : t], y[t - t0 : t], int(c["epochs"])).predict(x[t : t + 1])[0]))
+            net = Perceptron(x.shape[1], (int(c["width"]),) * int(c["layers"]), str(c["act"]), float(c["dropout"]), int(c["seed"]))
+            net.fit(x[t - t0 : t], y[t - t0 : t], int(c["epochs"]), int(c["batch"]), float(c["rate"]))
+            out.append(float(net.predict(x[t : t + 1])[0]))
         f, m = np.array(out), y[t0:]
-        return pd.DataFrame({"width": int(c["width"]), "layers": int(c["layers"]), "dropout": float(c["dropout"]), "window": t0, "seed": int(c["seed"]), "month": months[t0:], "coefficient_norm": np.nan, "forecast": f, "timing_return": f * m, "market_return": m})
+        return pd.DataFrame({
+            "width": int(c["width"]), "layers": int(c["layers"]), "dropout": float(c["dropout"]), "window": t0, "act": str(c["act"]), "batch": int(c["batch"]), "rate": float(c["rate"]), "seed": int(c["seed"]),
+            "month": months[t0:], "coefficient_norm": np.nan, "forecast": f, "timing_return": f * m, "market_return": m,
+        })
 
-    return map_configs(configs.repartition(max(1, min(configs.count(), 1000))), run, f"width int, layers int, dropout double, window int, seed int, {RESULT}")
+    dealt = configs.repartition(max(1, min(configs.count(), 1000)))
+    return map_configs(dealt, run, f"width int, layers int, dropout double, window int, act string, batch int, rate double, seed int, {RESULT}")

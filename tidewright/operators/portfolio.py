@@ -117,6 +117,19 @@ def timing_metrics(results: DataFrame, annual: int = 12, by: list[str] | None =
     )
 
 
+def nn_metrics(results: DataFrame, annual: int = 12, by: list[str] | None = None) -> DataFrame:
+    """timing_metrics() of a neural backtest, which has no coefficients, with the R2 once more as `performance`."""
+    return timing_metrics(results.withColumn("coefficient_norm", F.lit(None).cast("double")), annual, by).withColumn("performance", F.col("r2"))
+
+
+def best_at(metrics: DataFrame, point: dict[str, float], columns: list[str]) -> DataFrame:
+    """The largest of each of `columns` at one point of a grid; the point's numbers are compared exactly."""
+    here = metrics
+    for name, value in point.items():
+        here = here.filter(F.col(name) == F.lit(value))
+    return here.agg(*(F.max(c).alias(c) for c in columns))
+
+
 def oos_r2(pred: DataFrame, truth: str = "y_true", score: str = "y_pred", benchmark: str = "zero", by: list[str] | None = None) -> DataFrame:
     """Out-of-sample R2 against zero or the mean, pooled or per group; NULL without variation."""
     if benchmark not in ("zero", "mean"):

@@ -69,10 +69,37 @@ def rolling_ridge(df: DataFrame, features: list[str], target: str, penalty: floa
     return full.select(*by, month, "r.coefficient_norm", "r.forecast", (F.col("r.forecast") * F.col("y")).alias("timing_return"), F.col("y").alias("market_return"))
 
 
+def penalty_grid(df: DataFrame, features: list[str], target: str, penalties: list[float], window: int = 12, month: str = "month") -> DataFrame:
+    """rolling_ridge() for many penalties, with a column z: windows are gathered and decomposed once for all of them."""
+    past = F.collect_list(F.struct(F.array(*features).alias("x"), F.col(target).alias("y"))).over(Window.orderBy(month).rowsBetween(-window, -1))
+    rows = df.dropna(subset=[*features, target]).select(month, F.array(*features).alias("x"), F.col(target).alias("y"), past.alias("past"))
+    zs = np.array(penalties, dtype=float)
+
+    @F.pandas_udf("array<struct<z double, forecast double, coefficient_norm double>>")
+    def solve(x: pd.Series, past: pd.Series) -> pd.Series:
+        out = []
+        for now, rows in zip(x, past, strict=True):
+            s, y = np.stack([r["x"] for r in rows]), np.array([r["y"] for r in rows])
+            values, vectors = np.linalg.eigh(s @ s.T)
+            values, turned, seen = np.maximum(values, 0), vectors.T @ y, (now @ s.T) @ vectors
+            a = turned[None, :] / (values[None, :] + zs[:, None] * window)
+            out.append([{"z": z, "forecast": f, "coefficient_norm": n} for z, f, n in zip(zs, a @ seen, np.sqrt((a * a * values).sum(axis=1)), strict=True)])
+        return pd.Series(out)
+
+    each = rows.filter(F.size("past") == window).withColumn("r", F.explode(solve("x", "past")))
+    return each.select(F.col("r.z").alias("z"), month, "r.coefficient_norm", "r.forecast", (F.col("r.forecast") * F.col("y")).alias("timing_return"), F.col("y").alias("market_return"))
+
+
 def grid(spark: SparkSession, gammas: list[float], sizes: list[int], penalties: list[float], seeds: list[int]) -> DataFrame:
-    """(gamma, p, z, seed) of every run; p is an even number of features."""
-    one = lambda name, kind, values: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    return one("gamma", "double", gammas).crossJoin(one("p", "int", sizes)).crossJoin(one("z", "double", penalties)).crossJoin(one("seed", "int", seeds))  # lists of parameters
+    """(gamma, p, z, seed) of every run; p is an even number of features. Runs are numbers taken apart by division, so
+    that a grid of millions is made in parallel and a small one in one task."""
+    n = len(gammas) * len(sizes) * len(penalties) * len(seeds)
+    pick = lambda values, kind, step: F.element_at(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), (F.floor(F.col("id") / step) % len(values) + 1).cast("int"))
+    runs = spark.range(0, n, 1, max(1, min(spark.sparkContext.defaultParallelism, n // 1000)))
+    s, z = len(seeds), len(penalties)
+    return runs.select(
+        pick(gammas, "double", len(sizes) * s * z).alias("gamma"), pick(sizes, "int", s * z).alias("p"), pick(penalties, "double", 1).alias("z"), pick(seeds, "int", z).alias("seed")
+    )
 
 
 def complexity_grid(spark: SparkSession, seeds: int = 500) -> DataFrame:
@@ -102,10 +129,6 @@ def sweep(configs: DataFrame, series: DataFrame, features: list[str], target: st
     return configs.groupBy("gamma", "p", "seed").applyInPandas(run, f"gamma double, p int, z double, seed int, {RESULT}")
 
 
-def sweep_features(x: np.ndarray, p: int, gamma: float, seed: int) -> np.ndarray:
-    return rff.expand(x, rff.frequencies(x.shape[1], p // 2, gamma, seed))
-
-
 def map_configs(configs: DataFrame, run, schema: str) -> DataFrame:
     """One pandas row per configuration, dealt over tasks."""
 

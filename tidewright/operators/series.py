@@ -59,8 +59,18 @@ def in_intervals(df: DataFrame, intervals: DataFrame, date: str = "month", name:
 
 
 def asof(left: DataFrame, right: DataFrame, left_date: str, right_date: str, value: str) -> DataFrame:
-    """left with the value of the last right row dated no later: one union and one window, no range join."""
+    """left with the value of the last right row dated no later (NULL values don't count).
+
+    Rows meet month by month in one union and one window. A month's first rows take the last value of earlier months from
+    a table of a row per month, so no task holds more than a month of either side.
+    """
+    found = right.filter(F.col(value).isNotNull() & F.col(right_date).isNotNull()).select(F.col(right_date).alias("__t"), F.col(value).alias("__v"))
     a = left.select(F.col(left_date).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
-    b = right.select(F.col(right_date).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"))
-    w = Window.orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(value, F.last("__v", ignorenulls=True).over(w)).filter("__side = 1").select("__row.*", value)
+    b = found.select("__t", F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), "__v")
+    both = a.unionByName(b).withColumn("__month", F.trunc("__t", "MM"))
+    w = Window.partitionBy("__month").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("__near", F.last("__v", ignorenulls=True).over(w)).filter("__side = 1")
+    months = both.groupBy("__month").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__t"))).alias("__last"))  # a row per month
+    earlier = months.select(F.col("__month").alias("__m"), F.last("__last", ignorenulls=True).over(Window.orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    rows = near.join(F.broadcast(earlier), near["__month"].eqNullSafe(earlier["__m"]), "left")
+    return rows.select("__row.*", F.coalesce("__near", "__before").alias(value))

@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions import rff
-from tidewright.operators import clean, ipca, moments, nn, portfolio, ridge, rolling, series, universe
+from tidewright.functions import rff, subspace
+from tidewright.operators import clean, grassmann, ipca, moments, nn, portfolio, ridge, rolling, series, summaries, universe
 from tidewright.sources import synthetic
-from tidewright.sources.panel import market_month, predictions, read, supplier_month
+from tidewright.sources.panel import index_returns, market_month, predictions, read, read_signals, supplier_month
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -332,6 +332,39 @@ def delisting_returns(spark, d):
     return rows.withColumn("ret_adj", F.round(clean.compound("lret", "dlret"), 8))
 
 
+_MSF = "msf AS (SELECT permno, month AS date, lret AS ret, tax AS prc FROM panel)"
+
+
+def _msf(spark, d):
+    p = supplier_month(spark, d)
+    last = p.filter("permno % 5 = 0").groupBy("permno").agg(F.max_by("disc", "month").alias("disc"), F.max("month").alias("dlstdt"))
+    return p.select("permno", F.col("month").alias("date"), F.col("lret").alias("ret"), F.col("tax").alias("prc")), _spells(p), last.select("permno", "dlstdt", (-F.col("disc")).alias("dlret"))
+
+
+@query(f"""WITH {_SPELLS}, {_MSF}, dl AS (SELECT permno, max(month) AS date, -max_by(disc, month) AS dlret FROM panel WHERE permno % 5 = 0 GROUP BY 1)
+    SELECT msf.permno, msf.date, ret, prc, dlret, round(CASE WHEN ret IS NOT NULL OR dlret IS NOT NULL THEN (1 + coalesce(ret, 0)) * (1 + coalesce(dlret, 0)) - 1 END, 8) AS ret_adj, msf.date AS yyyymm
+    FROM msf JOIN spells s ON msf.permno = s.permno AND msf.date >= s.start AND (s.ending IS NULL OR msf.date <= s.ending) LEFT JOIN dl ON dl.permno = msf.permno AND dl.date = msf.date
+    WHERE msf.date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""")
+def index_returns_adjusted(spark, d):
+    """Returns of members, delistings compounded, between two dates."""
+    r = index_returns(*_msf(spark, d), start="1996-01-01", end="1999-12-31")
+    return r.withColumn("ret_adj", F.round("ret_adj", 8))
+
+
+@query(f"WITH {_SPELLS}, {_MSF} SELECT msf.permno, msf.date, ret, prc, msf.date AS yyyymm FROM msf JOIN spells s ON msf.permno = s.permno AND msf.date >= s.start AND (s.ending IS NULL OR msf.date <= s.ending) WHERE msf.date >= DATE '1997-03-15'")
+def index_returns_plain(spark, d):
+    """The same without delistings and without an end."""
+    returns, spells, _ = _msf(spark, d)
+    return index_returns(returns, spells, start="1997-03-15")
+
+
+@query("""SELECT permno, month AS yyyymm, qty FROM panel WHERE permno % 7 <> 0 AND NOT (permno % 3 = 1 AND month(month) = 2) AND month BETWEEN DATE '1995-06-01' AND DATE '2000-05-01'""")
+def signal_panel(spark, d):
+    """A panel with months as yyyymm, some without a key or with no month."""
+    raw = supplier_month(spark, d).select(F.when(F.col("permno") % 7 != 0, F.col("permno")).alias("permno"), F.when((F.col("permno") % 3 == 1) & (F.month("month") == 2), "n/a").otherwise(F.date_format("month", "yyyyMM")).alias("yyyymm"), "qty")
+    return read_signals(raw, "1995-06-01", "2000-05-15")
+
+
 @query("SELECT permno, month, lret FROM panel SEMI JOIN (SELECT month FROM market WHERE returns > 0) USING (month)")
 def semi_join_months(spark, d):
     return supplier_month(spark, d).select("permno", "month", "lret").join(market_month(spark, d).filter("returns > 0").select("month"), "month", "left_semi").select("permno", "month", "lret")
@@ -359,9 +392,7 @@ def rolling_train_windows(spark, d):
 
 @query("SELECT permno % 3 AS g, count(lret) AS n, round(avg(lret), 6) AS mean, round(stddev_samp(lret), 6) AS sd, min(lret) AS lo, round(quantile_cont(lret, 0.25), 6) AS q1, round(quantile_cont(lret, 0.5), 6) AS q2, round(quantile_cont(lret, 0.75), 6) AS q3, max(lret) AS hi FROM panel GROUP BY 1")
 def describe_profile(spark, d):
-    q = F.percentile("lret", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = supplier_month(spark, d).groupBy((F.col("permno") % 3).alias("g")).agg(F.count("lret").alias("n"), F.round(F.avg("lret"), 6).alias("mean"), F.round(F.stddev_samp("lret"), 6).alias("sd"), F.min("lret").alias("lo"), q.alias("q"), F.max("lret").alias("hi"))
-    return g.select("g", "n", "mean", "sd", "lo", *(F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)), "hi")
+    return rounded(summaries.describe(supplier_month(spark, d).withColumn("g", F.col("permno") % 3), "lret", ["g"]), 6, skip=("lo", "hi"))
 
 
 @query("SELECT o.o_orderpriority AS priority, c.c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders o JOIN customer c ON c_custkey = o_custkey GROUP BY ALL")
@@ -498,9 +529,7 @@ def timing_metrics(spark, d):
 @query(f"""WITH x AS (SELECT z, month, qty - 25 AS u, (disc - 0.05) * 100 AS v, returns AS y FROM market, (VALUES (0.01::DOUBLE), (1.0::DOUBLE), (100.0::DOUBLE)) g(z) WHERE returns IS NOT NULL), {_RIDGE2.format(a="z * 12", p="PARTITION BY z ").replace("SELECT month, y, u, v,", "SELECT z, month, y, u, v,")},
     t AS (SELECT z, avg((u * bu + v * bv) * y) / stddev_samp((u * bu + v * bv) * y) * sqrt(12) AS sr FROM b GROUP BY 1) SELECT round(max(sr), 5) AS best_sr FROM t""")
 def ridge_baseline_grid(spark, d):
-    x = _x(spark, d)
-    runs = [ridge.rolling_ridge(x, ["x", "v"], "y", penalty=z).select(F.lit(z).alias("z"), "coefficient_norm", "forecast", "timing_return", "market_return") for z in (0.01, 1.0, 100.0)]
-    rows = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    rows = ridge.penalty_grid(_x(spark, d), ["x", "v"], "y", [0.01, 1.0, 100.0])
     return portfolio.timing_metrics(rows, by=["z"]).agg(F.round(F.max("sr"), 5).alias("best_sr"))
 
 
@@ -523,6 +552,36 @@ def sweep_p2_summary(spark, d):
     return m.groupBy("gamma", "z").agg(F.avg("expected_return").alias("e"), F.avg("beta_norm_mean").alias("b")).select("gamma", "z", F.round(F.log10("z"), 6).alias("log_z"), F.round("e", 7).alias("expected_return"), F.round("b", 7).alias("beta_norm_mean"))
 
 
+@query(f"WITH g AS ({_sweep_sql().rstrip()}) SELECT expected_return, beta_norm_mean FROM g WHERE gamma = 2.0 AND z = 1000.0".replace("SELECT gamma, z, round(log10(z), 6) AS log_z, round(avg(er), 7)", "SELECT gamma, z, round(max(er), 7)").replace("round(avg(norm), 7)", "round(max(norm), 7)"))
+def sweep_point_best(spark, d):
+    """The best run of one point of the grid."""
+    runs = ridge.sweep(ridge.grid(spark, [0.5, 2.0], [2], [1.0, 1000.0], [1, 2, 3]), _x(spark, d), ["x", "v"], "y")
+    m = portfolio.timing_metrics(runs, by=["gamma", "p", "z", "seed"])
+    return rounded(portfolio.best_at(m, {"gamma": 2.0, "z": 1000.0}, ["expected_return", "beta_norm_mean"]), 7)
+
+
+_DUP = 300
+
+
+@query(f"""WITH x AS (SELECT month, qty - 25 AS u, (disc - 0.05) * 100 AS v, returns AS y FROM market WHERE returns IS NOT NULL), {_RIDGE2.format(a=f"(1000.0 * 12 / {_DUP})", p="")}
+    SELECT month, round(sqrt((bu * bu + bv * bv) / {_DUP}), 9) AS coefficient_norm, round(u * bu + v * bv, 8) AS forecast FROM b""")
+def ridge_dual_duplicates(spark, d):
+    """600 features on 12 rows, two of them 300 times: as those two with a 300th of the penalty."""
+    return ridge.rolling_ridge(_x(spark, d), ["x", "v"] * _DUP, "y", penalty=1000.0).select("month", F.round("coefficient_norm", 9).alias("coefficient_norm"), F.round("forecast", 8).alias("forecast"))
+
+
+@query(f"WITH {_RIDGE1} {_METRICS.format(k='', t='(SELECT * REPLACE (NULL::DOUBLE AS coefficient_norm) FROM t)')}".replace(" AS accuracy FROM", " AS accuracy, round(1 - sum((market_return - forecast) ** 2) / (var_pop(market_return) * count(*)), 6) AS performance FROM"))
+def nn_metrics(spark, d):
+    """The metrics of a neural backtest, over the forecasts of ridge_p1."""
+    m = portfolio.nn_metrics(ridge.rolling_ridge(_x(spark, d), ["x"], "y"))
+    return m.select(*(F.round(c, 5 if c in ("sr", "ir") else 6).alias(c) for c in m.columns))
+
+
+@query("SELECT dropout::DOUBLE AS dropout, layers, \"window\", width FROM (VALUES (0.1), (0.25), (0.5), (1.0)) a(dropout), (VALUES (1), (2), (4), (8)) b(layers), (VALUES (12), (36), (60)) c(\"window\"), (VALUES (32), (64), (128)) d(width)")
+def nn_grid_configs(spark, d):
+    return nn.config_grid(spark)
+
+
 @query()
 def rff_dual_ridge_large(spark, d):
     """P = 12,000 features on 12 rows: the dual never forms them."""
@@ -531,9 +590,9 @@ def rff_dual_ridge_large(spark, d):
 
 @query()
 def nn_backtest(spark, d):
-    configs = spark.createDataFrame([(w, 1, 0.1, 36, 15, 1) for w in (8, 16)], "width int, layers int, dropout double, window int, epochs int, seed int")
+    configs = spark.createDataFrame([(w, 1, 0.1, 36, 15, 1, a, 16, 2e-3) for w, a in ((8, "tanh"), (16, "gelu"))], "width int, layers int, dropout double, window int, epochs int, seed int, act string, batch int, rate double")
     rows = nn.rolling_nn(configs, series.zscore(_x(spark, d), ["x", "v"], least=12), ["x", "v"], "y")
-    return portfolio.timing_metrics(rows.withColumn("coefficient_norm", F.lit(0.0)), by=["width"])
+    return portfolio.nn_metrics(rows, by=["width", "act"])
 
 
 @query("SELECT l_linenumber AS layers, round(avg(l_discount) FILTER (l_returnflag = 'A'), 6) AS a, round(avg(l_discount) FILTER (l_returnflag = 'N'), 6) AS n, round(avg(l_discount) FILTER (l_returnflag = 'R'), 6) AS r, printf('T=%d, L=%d', l_linenumber, count(*)) AS label FROM lineitem GROUP BY 1")
@@ -548,10 +607,30 @@ def nn_grid_pivot(spark, d):
 @query("""WITH h AS (SELECT lret, (SELECT min(lret) FROM panel) AS lo, (SELECT max(lret) FROM panel) AS hi FROM panel WHERE lret IS NOT NULL)
     SELECT least(floor((lret - lo) / (hi - lo) * 3), 2)::INT + 1 AS bin, count(*) AS n, round(min(lret), 6) AS lo, round(max(lret), 6) AS hi FROM h GROUP BY 1""")
 def hist_stats(spark, d):
-    p = supplier_month(spark, d).filter("lret is not null").select("lret")
-    ends = F.broadcast(p.agg(F.min("lret").alias("a"), F.max("lret").alias("b")))
-    spot = F.least(F.floor((F.col("lret") - F.col("a")) / (F.col("b") - F.col("a")) * 3), F.lit(2)).cast("int") + 1
-    return p.crossJoin(ends).groupBy(spot.alias("bin")).agg(F.count("*").alias("n"), F.round(F.min("lret"), 6).alias("lo"), F.round(F.max("lret"), 6).alias("hi"))
+    return rounded(summaries.histogram(supplier_month(spark, d), "lret", 3))
+
+
+@query("""WITH q AS (SELECT permno % 3 AS g, quantile_cont(lret, 0.25) AS q1, quantile_cont(lret, 0.5) AS q2, quantile_cont(lret, 0.75) AS q3 FROM panel GROUP BY 1),
+    r AS (SELECT g, q1, q2, q3, lret, lret BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM panel JOIN q ON g = permno % 3 WHERE lret IS NOT NULL)
+    SELECT g, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3, round(min(lret) FILTER (inside), 6) AS low, round(max(lret) FILTER (inside), 6) AS high, count(*) FILTER (NOT inside) AS n_out FROM r GROUP BY ALL""")
+def box_stats(spark, d):
+    return rounded(summaries.box(supplier_month(spark, d).withColumn("g", F.col("permno") % 3), "lret", ["g"]))
+
+
+@query("""WITH v AS (SELECT returns::DOUBLE AS v FROM market WHERE returns IS NOT NULL), s AS (SELECT count(*) AS n, stddev_samp(v) * pow(count(*)::DOUBLE, -0.2) AS h, min(v) AS lo, max(v) AS hi FROM v),
+    x AS (SELECT lo - h + i * (hi - lo + 2 * h) / 19 AS x, h, n FROM s, range(20) r(i)) SELECT round(x, 6) AS x, round(sum(exp(-(((x - v) / h) ** 2) / 2) / sqrt(2 * pi()) / h) / n, 6) AS density FROM x, v GROUP BY x, n""")
+def density_curve(spark, d):
+    return rounded(summaries.density(market_month(spark, d), "returns", 20))
+
+
+@query("""WITH k AS (SELECT year(month) AS year, returns, row_number() OVER (PARTITION BY year(month) ORDER BY month) - 1 AS rn, count(*) OVER (PARTITION BY year(month)) AS n FROM market WHERE returns IS NOT NULL),
+    p AS (SELECT year, d, i, ('0x' || substr(md5('7:' || d || ':' || i), 1, 12))::BIGINT % n AS pick FROM (SELECT DISTINCT year, n FROM k), range(200) a(d), range(12) b(i) WHERE i < n),
+    m AS (SELECT p.year, d, avg(returns) AS m FROM p JOIN k ON k.year = p.year AND k.rn = p.pick GROUP BY 1, 2),
+    q AS (SELECT year, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1)
+    SELECT k.year, count(*) AS n, round(avg(returns), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM k JOIN q ON q.year = k.year GROUP BY 1""")
+def bootstrap_interval(spark, d):
+    m = market_month(spark, d).filter("returns is not null").withColumn("year", F.year("month"))
+    return rounded(summaries.bootstrap_mean(m, "returns", "month", ["year"], draws=200, seed=7))
 
 
 # Subspaces
@@ -561,8 +640,6 @@ _F2 = "q AS (SELECT qty - 25 AS a, (disc - 0.05) * 1000 AS b FROM market), c AS
 
 @query(f"WITH {_F2} SELECT round(exp(-(x / (x + y) * ln(x / (x + y)) + y / (x + y) * ln(y / (x + y)))), 6) AS erank, round(y / x, 6) AS gap_ratio FROM e")
 def erank_gap_k2(spark, d):
-    from tidewright.functions import subspace
-
     rows = market_month(spark, d).orderBy("month").select(F.col("qty") - 25, (F.col("disc") - 0.05) * 1000).collect()  # a row per month
     _, rank, gap = subspace.factor_covariance(np.array([tuple(r) for r in rows]).T)
     return spark.createDataFrame([(round(rank, 6), round(gap, 6))], "erank double, gap_ratio double")
@@ -571,31 +648,115 @@ def erank_gap_k2(spark, d):
 _ANGLE = "g AS (SELECT month, qty - 25 AS a, (disc - 0.05) * 1000 AS b FROM market), h AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM g WINDOW w AS (ORDER BY month)), t AS (SELECT month, CASE WHEN pa IS NOT NULL THEN acos(least(abs(a * pa + b * pb) / sqrt((a * a + b * b) * (pa * pa + pb * pb)), 1)) END AS angle FROM h)"
 
 
-def _angle(spark, d):
-    g = market_month(spark, d).select("month", (F.col("qty") - 25).alias("a"), ((F.col("disc") - 0.05) * 1000).alias("b"))
-    w = Window.orderBy("month")
-    g = g.withColumns({"pa": F.lag("a").over(w), "pb": F.lag("b").over(w)})
-    cos = F.abs(F.col("a") * F.col("pa") + F.col("b") * F.col("pb")) / F.sqrt((F.col("a") ** 2 + F.col("b") ** 2) * (F.col("pa") ** 2 + F.col("pb") ** 2))
-    return g.select("month", F.when(cos.isNotNull(), F.acos(F.least(cos, F.lit(1.0)))).alias("angle"))
+def _directions(spark, d):
+    """(month, direction) of the monthly series; a row per month."""
+    rows = market_month(spark, d).orderBy("month").select("month", F.col("qty") - 25, (F.col("disc") - 0.05) * 1000).collect()
+    return [(r[0], np.array([[r[1]], [r[2]]])) for r in rows]
 
 
 @query(f"WITH {_ANGLE} SELECT month, round(angle, 6) AS geodesic, round(sin(angle), 6) AS chordal, round(sqrt(2) * sin(angle), 6) AS projection, round(sqrt(2) * sin(angle) / sqrt(2 * 1 * (2 - 1) / 3.0), 6) AS normalised FROM t WHERE angle IS NOT NULL")
 def angle_k1(spark, d):
-    a = _angle(spark, d).filter("angle is not null")
-    return a.select("month", F.round("angle", 6).alias("geodesic"), F.round(F.sin("angle"), 6).alias("chordal"), F.round(math.sqrt(2) * F.sin("angle"), 6).alias("projection"), F.round(math.sqrt(2) * F.sin("angle") / math.sqrt(2 / 3), 6).alias("normalised"))
+    g = _directions(spark, d)
+    rows = [(t, *(subspace.distance(a, b, x) for x in ("geodesic", "chordal", "projection")), subspace.distance(a, b, "projection") / subspace.random_baseline(2, 1)) for (_, a), (t, b) in zip(g, g[1:], strict=False)]
+    return spark.createDataFrame([(t, *(round(v, 6) for v in x)) for t, *x in rows], "month date, geodesic double, chordal double, projection double, normalised double")
 
 
-@query(f"WITH {_ANGLE} SELECT month, round(angle - lag(angle) OVER (ORDER BY month), 6) AS geodesic_acceleration FROM t")
+@query(f"WITH {_ANGLE} SELECT month, round(sqrt(2) * (sin(angle) - lag(sin(angle)) OVER (ORDER BY month)), 6) AS geodesic_acceleration FROM t")
 def diag_acceleration(spark, d):
-    return _angle(spark, d).select("month", F.round(F.col("angle") - F.lag("angle").over(Window.orderBy("month")), 6).alias("geodesic_acceleration"))
+    g = _directions(spark, d)
+    notes = rolling.diagnostics([(x, np.ones((1, 2))) for _, x in g])
+    return spark.createDataFrame([(t, round(r["geodesic_acceleration"], 6) if "geodesic_acceleration" in r else None) for (t, _), r in zip(g, notes, strict=True)], "month date, geodesic_acceleration double")
 
 
 @query("WITH o AS (SELECT month, returns AS f FROM market WHERE month(month) % 2 = 0) SELECT m.month, round(coalesce(o.f, (SELECT avg(f) FROM o)), 8) AS factor FROM market m LEFT JOIN o USING (month)")
 def warm_factor_alignment(spark, d):
-    m = market_month(spark, d)
-    o = m.filter(F.month("month") % 2 == 0).select("month", F.col("returns").alias("f"))
-    mean = F.broadcast(o.agg(F.avg("f").alias("mean")))
-    return m.select("month").join(o, "month", "left").crossJoin(mean).select("month", F.round(F.coalesce("f", "mean"), 8).alias("factor"))
+    rows = market_month(spark, d).orderBy("month").select("month", "returns").collect()  # a row per month
+    old = [(t, f) for t, f in rows if t.month % 2 == 0]
+    found = rolling.align_warm_factors(np.array([[f for _, f in old]], dtype=float), [t for t, _ in old], [t for t, _ in rows])[0]
+    return spark.createDataFrame([(t, round(float(f), 8)) for (t, _), f in zip(rows, found, strict=True)], "month date, factor double")
+
+
+# One factor and one iteration have a closed form
+
+
+def _step_sql(train: str, alpha: str = "1.0") -> str:
+    """Loadings g -> (ga, gb, f) after one iteration from the start by singular vectors, of training rows tr(g, month, y, a, b)."""
+    return f"""tr AS ({train}), q AS (SELECT g, month, avg(a * y) AS qa, avg(b * y) AS qb FROM tr GROUP BY ALL), c AS (SELECT g, sum(qa * qa) AS aa, sum(qa * qb) AS ab, sum(qb * qb) AS bb FROM q GROUP BY g),
+        e AS (SELECT g, ab AS va, (aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab * ab) - aa AS vb FROM c), v AS (SELECT g, va / sqrt(va * va + vb * vb) AS va, vb / sqrt(va * va + vb * vb) AS vb FROM e),
+        f AS (SELECT g, month, sum((va * a + vb * b) * y) / sum((va * a + vb * b) ** 2) AS f FROM tr JOIN v USING (g) GROUP BY ALL),
+        s AS (SELECT g, sum(f * f * a * a) + {alpha} AS aa, sum(f * f * a * b) AS ab, sum(f * f * b * b) + {alpha} AS bb, sum(f * a * y) AS ay, sum(f * b * y) AS bys FROM tr JOIN f USING (g, month) GROUP BY g),
+        w AS (SELECT g, (bb * ay - ab * bys) / (aa * bb - ab * ab) * m AS ga, (aa * bys - ab * ay) / (aa * bb - ab * ab) * m AS gb FROM s JOIN (SELECT g, avg(f) AS m FROM f GROUP BY g) USING (g))"""
+
+
+_TESTS = "t AS (SELECT month AS g FROM (SELECT month, row_number() OVER (ORDER BY month) AS rn FROM (SELECT DISTINCT month FROM z)) WHERE rn > 12)"
+_BEFORE = "SELECT g, month, y, a, b FROM t JOIN z ON z.month < g"
+
+
+@query(f"WITH {_Z}, {_TESTS}, {_step_sql(_BEFORE)} SELECT permno, month, y AS y_true, round(ga * a + gb * b, 7) + 0.0 AS y_pred, CAST(month - INTERVAL 1 MONTH AS DATE) AS train_end FROM z JOIN w ON w.g = z.month")
+def ipca_rolling_k1(spark, d):
+    """Refits of one iteration each, in tasks."""
+    pred, _ = rolling.rolling_factors(_z(spark, d), ["a", "b"], n_factors=1, min_obs=1, max_iter=0, warm_start=False)
+    return pred.select("permno", "month", "y_true", (F.round("y_pred", 7) + 0.0).alias("y_pred"), "train_end")
+
+
+@query(f"""WITH {_Z}, {_TESTS}, m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM z WHERE month < (SELECT min(g) FROM t)),
+    n AS (SELECT permno, month, y, (a - ma) / sa AS a, (b - mb) / sb AS b FROM z, m), {_step_sql(_BEFORE.replace("JOIN z ON z.", "JOIN n ON n."))} SELECT permno, month, round(ga * a + gb * b, 7) + 0.0 AS y_pred FROM n JOIN w ON w.g = n.month""")
+def ipca_rolling_frozen_k1(spark, d):
+    """The same on characteristics scaled by the first window's mean and deviation."""
+    pred, _ = rolling.rolling_factors(_z(spark, d), ["a", "b"], n_factors=1, min_obs=1, max_iter=0, warm_start=False, normalize="frozen")
+    return pred.select("permno", "month", (F.round("y_pred", 7) + 0.0).alias("y_pred"))
+
+
+@query(f"""WITH {_Z}, {_TESTS}, {_NEXT}, u AS (SELECT next AS g, permno FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY mcap DESC, permno) AS rn FROM panel) JOIN n USING (month) WHERE rn <= 10),
+    {_step_sql("SELECT u.g, z.month, y, a, b FROM u JOIN t USING (g) JOIN z ON z.permno = u.permno AND z.month < u.g AND z.month >= u.g - INTERVAL 24 MONTH")}
+    SELECT z.permno, z.month, round(ga * a + gb * b, 7) + 0.0 AS y_pred FROM z JOIN u ON u.g = z.month AND u.permno = z.permno JOIN w ON w.g = z.month""")
+def ipca_rolling_universe_k1(spark, d):
+    """The same within the ten largest of the month before, over two years."""
+    p = supplier_month(spark, d)
+    chosen = universe.previous_month(universe.by_market_cap(p, top_n=10), p)
+    pred, _ = rolling.rolling_factors(_z(spark, d), ["a", "b"], n_factors=1, window=24, min_obs=1, max_iter=0, warm_start=False, universe=chosen)
+    return pred.select("permno", "month", (F.round("y_pred", 7) + 0.0).alias("y_pred"))
+
+
+@query(f"""WITH {_Z}, p(alpha) AS (VALUES (0.01::DOUBLE), (1.0::DOUBLE), (100.0::DOUBLE)), k AS (SELECT DISTINCT permno % 5 AS fold FROM z), {_step_sql("SELECT alpha * 10 + fold AS g, month, y, a, b FROM z, p, k WHERE permno % 5 <> fold", "(SELECT max(alpha) FROM p WHERE alpha * 10 <= g + 1e-9)")}
+    SELECT alpha, round(sum((y - (ga * a + gb * b)) ** 2) / count(*), 9) AS mse FROM z, p JOIN w ON true WHERE w.g = alpha * 10 + permno % 5 GROUP BY 1""")
+def ipca_cv_k1(spark, d):
+    """Cross-validation error over five folds of entities, an iteration each."""
+    z = _z(spark, d).withColumn("fold", (F.col("permno") % 5).cast("int"))
+    rows = moments.month_moments(z, ["a", "b"], by=("fold",))
+    folds = {k: moments.collect(rows.filter(F.col("fold") == k).drop("fold"), 2) for k in range(5)}
+    found = ipca.fit_path({k: v for k, v in folds.items() if len(v.n)}, [0.01, 1.0, 100.0], n_factors=1, max_iter=0)
+    return spark.createDataFrame([(a, round(float(e), 9)) for a, e in found], "alpha double, mse double")
+
+
+@query(f"""WITH {_FSTEP}, s AS (SELECT sum(f * f * a * a) AS aa, sum(f * f * a * b) AS ab, sum(f * f * b * b) AS bb, sum(f * a * y) AS ay, sum(f * b * y) AS bys FROM z JOIN f USING (month)),
+    g AS (SELECT (bb * ay - ab * bys) / (aa * bb - ab * ab) AS ga, (aa * bys - ab * ay) / (aa * bb - ab * ab) AS gb FROM s), g1 AS (SELECT ga / sqrt(ga * ga + gb * gb) AS ga, gb / sqrt(ga * ga + gb * gb) AS gb FROM g),
+    f1 AS (SELECT month, sum((ga * a + gb * b) * y) / sum((ga * a + gb * b) ** 2) AS f FROM z, g1 GROUP BY 1),
+    s1 AS (SELECT sum(f * f * a * a) AS aa, sum(f * f * a * b) AS ab, sum(f * f * b * b) AS bb, sum(f * a * y) AS ay, sum(f * b * y) AS bys FROM z JOIN f1 USING (month)),
+    g2 AS (SELECT (bb * ay - ab * bys) / (aa * bb - ab * ab) AS ga, (aa * bys - ab * ay) / (aa * bb - ab * ab) AS gb FROM s1), n AS (SELECT sqrt(ga * ga + gb * gb) * sign((SELECT avg(f) FROM f1)) AS n FROM g2)
+    SELECT round(ga / n, 6) AS ga, round(gb / n, 6) AS gb, round((ga / n) ** 2, 6) AS statistic FROM g2, n""")
+def ipca_two_steps_k1(spark, d):
+    """Loadings after two iterations from given ones, and the statistic of the test of the first characteristic."""
+    m = moments.collect(moments.month_moments(_z(spark, d), ["a", "b"]), 2)
+    model = ipca.fit(m, 1, max_iter=1, tol=0.0, warm=np.array(_G)[:, None])
+    stat, _, _ = ipca.test_characteristic(spark, model, 0, draws=2, tasks=1, max_iter=1)
+    return spark.createDataFrame([(*(round(float(v), 6) for v in model.gamma[:, 0]), round(stat, 6))], "ga double, gb double, statistic double")
+
+
+@query(f"""WITH {_Z}, w AS (SELECT month, y, {_G[0]} * a + {_G[1]} * b AS x FROM z), m AS (SELECT month, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM w GROUP BY 1),
+    r AS (SELECT *, xy / (xx + 0.5) AS beta FROM m) SELECT round(sum(yy - 2 * beta * xy + beta * beta * xx) / count(*), 7) AS loss FROM r""")
+def grassmann_loss_k1(spark, d):
+    """The manifold estimator's loss at given loadings."""
+    m = moments.collect(moments.month_moments(_z(spark, d), ["a", "b"]), 2)
+    return spark.createDataFrame([(round(grassmann.loss_and_gradient(np.array(_G)[:, None], m, 0.5)[0], 7),)], "loss double")
+
+
+@query()
+def ipca_rff_rolling(spark, d):
+    """Rolling refits on 24 random features of the ten largest, warm-started, with the diagnostics' rank beside."""
+    p = supplier_month(spark, d)
+    chosen = universe.previous_month(universe.by_market_cap(p, top_n=10), p)
+    return rolling.rolling_factors(_z(spark, d), ["a", "b"], n_factors=2, window=36, min_obs=60, alpha=100.0, max_iter=50, normalize="rolling", universe=chosen, rff={"n": 24, "gamma": 0.25})[0]
 
 
 # Estimators without SQL; their values are tested against numpy and known truth

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.clean import compound, members
 from tidewright.operators.series import log_ratio, pct_change
 
 #: Columns of a predictor file, fixed by its format.
@@ -22,7 +23,7 @@ def load_predictors(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.select(F.to_date(F.try_to_timestamp(F.col("yyyymm"), F.lit("yyyyMM"))).alias("month"), number("Index").alias("prices"), *(number(c).alias(c) for c in RAW_PREDICTORS)).filter("month is not null")
     w = Window.orderBy("month")
     return rows.select(
-        "month", "b/m", (F.col("ltr") * 0 + F.col("corpr") - F.col("ltr")).alias("dfr"), (F.col("BAA") - F.col("AAA")).alias("dfy"), log_ratio(F.col("D12"), F.col("prices")).alias("dp"),
+        "month", "b/m", (F.col("corpr") - F.col("ltr")).alias("dfr"), (F.col("BAA") - F.col("AAA")).alias("dfy"), log_ratio(F.col("D12"), F.col("prices")).alias("dp"),
         log_ratio(F.col("D12"), F.lag("prices").over(w)).alias("dy"), log_ratio(F.col("E12"), F.col("prices")).alias("ep"), log_ratio(F.col("D12"), F.col("E12")).alias("de"),
         "infl", "ltr", "lty", "ntis", "svar", "tbl", (F.col("lty") - F.col("tbl")).alias("tms"), pct_change("prices").alias("returns"),
     ).dropna()
@@ -51,10 +52,53 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
         df.write.partitionBy(*partition_by).parquet(path)
 
 
-def read_returns_jdbc(spark: SparkSession, url: str, start: str, end: str, table: str = "msf", **options) -> DataFrame:
-    """Monthly returns from a database; the date filter is pushed down."""
-    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-    return rows.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+def ensure_dirs(spark: SparkSession, *paths: str) -> None:
+    """Make folders that aren't there, on whatever file system their paths name."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+
+
+def write_nested(results: dict[str, DataFrame], path: str, key: str = "run") -> None:
+    """Tables of one schema by name as one Parquet table, partitioned by the name."""
+    for name, df in results.items():
+        df.withColumn(key, F.lit(name)).write.mode("append").partitionBy(key).parquet(path)
+
+
+def read_signals(raw: DataFrame, start: str | None = None, end: str | None = None, id: str = "permno", month: str = "yyyymm") -> DataFrame:
+    """A signal panel as it comes: months parsed from yyyymm (others become NULL), rows without a key dropped, months
+    outside [start, end] left out, in order of entity and month."""
+    parsed = F.to_date(F.try_to_timestamp(F.col(month).cast("string"), F.lit("yyyyMM")))
+    rows = raw.withColumn(month, parsed).dropna(subset=[id, month])
+    if start is not None:
+        rows = rows.filter(F.col(month) >= F.trunc(F.lit(start).cast("date"), "MM"))
+    if end is not None:
+        rows = rows.filter(F.col(month) <= F.trunc(F.lit(end).cast("date"), "MM"))
+    return rows.orderBy(id, month)
+
+
+def index_returns(returns: DataFrame, spells: DataFrame, delistings: DataFrame | None = None, start: str = "1980-01-01", end: str | None = None) -> DataFrame:
+    """Monthly returns of entities while they are in the index: (permno, date, ret, ..., yyyymm), sorted.
+
+    returns: permno, date, ret and further columns; spells: permno, start, ending (NULL: still in); delistings: permno,
+    dlstdt, dlret, which adds dlret and ret_adj, both returns compounded. The dates are filtered first, so that the
+    filter reaches the scan.
+    """
+    rows = returns.filter(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        rows = rows.filter(F.col("date") <= F.lit(end).cast("date"))
+    rows = members(rows, spells, date="date").drop("start", "ending")
+    if delistings is not None:
+        last = delistings.select("permno", F.col("dlstdt").alias("date"), "dlret")
+        rows = rows.join(last, ["permno", "date"], "left").withColumn("ret_adj", compound("ret", "dlret"))
+    return rows.withColumn("yyyymm", F.trunc("date", "MM")).orderBy("permno", "date")
+
+
+def read_returns_jdbc(spark: SparkSession, url: str, start: str, end: str | None = None, tables: tuple[str, str, str] = ("msf", "msp500list", "msedelist"), adjust: bool = True, **options) -> DataFrame:
+    """index_returns() of a database's tables of returns, spells and delistings; the date filter is pushed down."""
+    returns, spells, last = (spark.read.format("jdbc").options(url=url, dbtable=t, **options).load() for t in tables)
+    return index_returns(returns, spells, last if adjust else None, start, end)
 
 
 def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
