@@ -107,9 +107,51 @@ def test_html_long_attributes(size):
     for says in ('class="advert"', 'id="sidebar"', 'role="complementary"', "hidden", 'aria-hidden="true"'):
         page = f"<article><p>This is the first line of the article.</p><div {data} {says}>{advert}</div><p>This is its last line.</p></article>"
         assert html_extract.main_text(page) == "This is the first line of the article.\n\nThis is its last line."
-    assert html_extract.blocks(f'<div {data} class="article-body"><p>x</p></div>')[0][1][6] == 1.0
+    main, boiler, hint = (html_extract.FEATURES.index(x) for x in ("in_main", "in_boiler", "hint"))
+    assert html_extract.blocks(f'<div {data} class="article-body"><p>x</p></div>')[0][1][main] == 1.0
     inside = html_extract.blocks(f"<div {data} data-y='{{&quot;hidden&quot;: 1, hidden class=ad}}'><p>x</p></div>")
-    assert inside[0][1][7] == 0.0  # what a value says of others is no attribute
+    assert inside[0][1][boiler] == inside[0][1][hint] == 0.0  # what a value says of others is no attribute
+
+
+def test_html_without_marks():
+    """Pages whose markup says nothing, and class words that mean nothing."""
+    say = "The committee met on Tuesday to discuss the plan for the new bridge over the river, which has been late for three years by now."
+    more = [f"{say} {x}" for x in ("First of all.", "Then again.", "Last of all.")]
+    text = html_extract.main_text
+    assert text(f"<html><body><p>{say}</p></body></html>") == say
+    assert text(f"<body><h1>New bridge planned</h1><p>{say}</p></body>") == f"New bridge planned\n\n{say}"
+    assert text("<body><h1>New bridge planned</h1>" + "".join(f"<p>{x}</p>" for x in more) + "</body>") == "\n\n".join(["New bridge planned", *more])
+    price, results = "The share price rose by three percent on Monday after the news.", "The results show that this is the case in most of the samples that we took."
+    inside = f'<body><article><h1>Title</h1><p>{say}</p><div class="share-price"><p>{price}</p></div><section id="discussion"><p>{results}</p></section></article></body>'
+    assert text(inside) == "\n\n".join(["Title", say, price, results])
+    boxes = f"<body><div><p>{more[0]}</p><p>{more[1]}</p></div><div><p>I do not agree with this.</p></div><div>Copyright 2020 Example</div></body>"
+    assert text(boxes) == f"{more[0]}\n\n{more[1]}"
+    menu = "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(5))
+    assert text(f"<body><div><ul>{menu}</ul></div><div><h1>Bridge</h1><p>{say}</p><p>Short one.</p><p>{more[0]}</p></div><div>Copyright 2020 Example</div></body>") == "\n\n".join(["Bridge", say, "Short one.", more[0]])
+    assert text(f'<article><p>{say}</p><section class="comments"><p>{more[1]}</p></section></article>') == say
+
+
+def test_html_tree_splits_on_words_and_links():
+    """The first levels look at words and links of a block and its neighbours; own word counts decide some branch."""
+    names: list[list[str]] = []
+
+    def walk(tree, level=0):
+        if isinstance(tree, tuple):
+            names.extend([] for _ in range(level + 1 - len(names)))
+            names[level].append(html_extract.FEATURES[tree[0]])
+            walk(tree[2], level + 1)
+            walk(tree[3], level + 1)
+
+    walk(html_extract.trained())
+    first = {x for level in names[:3] for x in level}
+    assert first <= set(html_extract.FEATURES[:6]) and "words" in first and "hint" not in first
+    print("\n".join(f"level {i}: {Counter(x)}" for i, x in enumerate(names)))
+
+
+def test_html_tags_are_not_kept_for_ever():
+    for i in range(20_000):
+        html_extract.blocks(f'<p class="c{i}"><a href="/{i}" class="x">a</a></p>')
+    assert html_extract._short_kind.cache_info().currsize <= 4096
 
 
 def test_html_tree_holds_out():
@@ -184,7 +226,8 @@ def test_exact_nulls_repeats_and_levels(spark):
     assert exact_dedup.exact_duplicates(documents(spark, [])).count() == 0
     index = exact_dedup.DigestIndex(spark, "smallest", fanout=2)
     for first in (5, 3, 9, 1):
-        index.flush(spark.createDataFrame([(bytearray(b"x"), first), (bytearray([first]), first)], "digest binary, id long"))
+        hits = index.flush(spark.createDataFrame([(bytearray(b"x"), first), (bytearray([first]), first)], "digest binary, id long"))
+        assert hits.count() == (first != 5)  # looked up in the runs before
     assert len(index.levels[0]) == 0 and len(index.levels) == 3
     assert index.merged().filter(F.col("digest") == F.lit(b"x")).first()["id"] == 1
 
@@ -275,6 +318,47 @@ def test_classifier_held_out(spark):
     assert quality.keep_good(documents(spark, [None, "", "x " * 50_000]), labels.filter("false")).count() == 3
 
 
+def test_cumulative_link_against_brute_force():
+    """Probabilities and slopes against differences of the log likelihood; scores against sums over hashed words; ties."""
+    theta = np.array([-np.inf, -1.0, 0.7, np.inf])
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def like(s, y, t):
+        return (1.0 if y == 0 else sig(s - t[y])) - (0.0 if y == 2 else sig(s - t[y + 1]))
+
+    for s in (-3.0, -1.0, 0.0, 0.4, 2.5):
+        assert sum(like(s, y, theta) for y in range(3)) == pytest.approx(1)
+        for y in range(3):
+            p, low, high = quality.grade_slopes(s, y, theta)
+            assert p == pytest.approx(like(s, y, theta))
+            h = 1e-6
+            assert low - high == pytest.approx((np.log(like(s + h, y, theta)) - np.log(like(s - h, y, theta))) / (2 * h), abs=1e-5)
+            for k, slope in ((y, -low), (y + 1, high)):  # by the thresholds
+                if 0 < k < 3:
+                    up, down = theta.copy(), theta.copy()
+                    up[k], down[k] = up[k] + h, down[k] - h
+                    assert slope == pytest.approx((np.log(like(s, y, up)) - np.log(like(s, y, down))) / (2 * h), abs=1e-5)
+    rng = np.random.default_rng(0)
+    model = quality.Ordinal(10, rng.standard_normal(1 << 10).astype(np.float32), theta[1:-1])
+    texts = [None, "", "a b a", "a b a", "x " * 5000, "é | # $", "Word word"]
+    got = model.score(pa.array(texts))
+    for first, row, feature in quality.features(pa.array(texts), 10):
+        for i in range(len(texts)):
+            assert got[first + i] == pytest.approx(sum(float(model.weights[f]) for f in set(feature[row == i].tolist())), abs=1e-5)
+    assert got[0] == got[1] and got[2] == got[3]
+    tails = model.tails(got)
+    assert np.allclose(tails, 1 / (1 + np.exp(theta[1:-1][None, :] - got[:, None]))) and (tails[:, 0] >= tails[:, 1]).all()
+
+
+def test_classifier_of_odd_labels(spark):
+    docs = spark.createDataFrame([(1, "good text here", "x"), (1, "other text", "y"), (2, None, "z"), (3, "", "w"), (None, "t", "v")], "doc_id long, text string, grade string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, None), (None, 1, 1), (9, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r["id"]: r["grade"] for r in quality.graded(labels).collect()} == {1: 1, 9: 2, 3: 2}  # the lowest of several
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= 5
+    assert quality.keep_good(docs, labels.filter("false")).count() == 5
+
+
 # 6
 
 
@@ -370,16 +454,17 @@ def test_winnowing_against_brute_force(spark):
 
 
 def test_chain_and_align():
-    pb, pa_ = np.array([0, 10, 20, 30, 500]), np.array([100, 110, 119, 400, 131])
-    best = substring_dedup.chain(pb, pa_, 8, 0.1)[0]
-    assert best == [0, 1, 2]
+    assert substring_dedup.chain([0, 10, 20, 30, 500], [100, 110, 119, 400, 131], [8] * 5, 4, 0.1)[0] == [(0, 100, 8), (10, 110, 8), (20, 119, 8)]
+    assert substring_dedup.chain([0, 7, 9], [0, 9, 40], [9, 10, 2], 4, 0.1)[0] == [(0, 0, 9), (9, 11, 8)]  # an overlap is cut off
     rng = np.random.default_rng(1)
-    x = rng.integers(0, 10**9, 120)
-    y = np.concatenate([rng.integers(0, 10**9, 30), x[20:60], rng.integers(0, 10**9, 2), x[62:100], rng.integers(0, 10**9, 25)])
-    assert substring_dedup.align(x, y, 10)[:4] == (20, 100, 30, 110)
-    z = np.concatenate([x[20:60], x[63:100]])  # three words left out
-    a, b, c, d, same = substring_dedup.align(x, z, -20)
-    assert (a, b, c, d) == (20, 100, 0, 77) and same == 77
+    x = rng.integers(0, 10**9, 12)
+    equal, of_x, of_y = substring_dedup.side_by_side(x, np.concatenate([x[:5], x[8:]]))  # three words left out
+    assert equal.sum() == 9 and of_x.sum() == 12 and of_y.sum() == 9 and not (equal & ~(of_x & of_y)).any()
+    assert substring_dedup.side_by_side(x, np.array([7]))[0].sum() == 0
+    e = np.ones(200, bool)
+    e[[60, 61, 62, 63, *range(100, 140)]] = False
+    assert sorted(substring_dedup.stretches(e, 50, 0.8)) == [(0, 100), (140, 200)]
+    assert substring_dedup.stretches(np.arange(50) % 5 > 0, 50, 0.8) == [(0, 50)] and substring_dedup.stretches(np.arange(50) % 4 > 0, 50, 0.8) == []
     tree = substring_dedup.Fenwick(4)
     tree.raise_(2, 5.0, 9)
     assert tree.before(2)[1] == -1 and tree.before(3) == (5.0, 9)
@@ -435,7 +520,6 @@ def test_passages_beyond_their_seeds(spark):
     texts += [say(30) + x + say(30), say(9) + x[:19] + x[20:39] + x[40:] + say(30)]
     got = {(r["id"], r["other_id"]) for r in substring_dedup.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()}
     assert got == {(i + 1, i) for i in range(0, 42, 2)}
-    assert not substring_dedup.may_align(np.arange(50), np.arange(11, 70), 50, 0.8) and substring_dedup.may_align(np.arange(50), np.arange(10, 70), 50, 0.8)
 
 
 def test_fuzzy_passages_against_brute_force(spark):
@@ -476,9 +560,93 @@ def test_passages_of_the_tables(spark):
             for j in range(len(w) - n + 1):
                 of[" ".join(w[j : j + n])].add(i)
     sharing = {n: {i for s in of.values() if len(s) > 1 for i in s} for n, of in owners.items()}
-    got = {i for r in entry.queries()["op8_substring_dedup"](spark, DATA).collect() for i in (r["doc_id"], r["other_id"])}
+    rows = entry.queries()["op8_substring_dedup"](spark, DATA).collect()
+    got = {r["doc_id"] for r in rows}
     assert sharing[50] <= got
     assert got <= sharing[15]
+    # documents with fifty equal words in a row are in one component, and the words are in a region
+    component = {r["doc_id"]: r["component_id"] for r in rows}
+    regions = defaultdict(list)
+    for r in rows:
+        assert 0 <= r["start_word"] <= r["end_word"] - 50 and r["n_links"] > 0 and r["component_id"] <= r["doc_id"]
+        regions[r["doc_id"]].append((r["start_word"], r["end_word"]))
+    assert all(b[0] > a[1] for v in regions.values() for a, b in zip(sorted(v), sorted(v)[1:]))
+    for i, w in docs.items():
+        for j in range(len(w) - 49):
+            with_it = owners[50][" ".join(w[j : j + 50])]
+            if len(with_it) > 1:
+                assert {component[x] for x in with_it} == {component[i]}
+                assert any(a <= j and j + 50 <= b for a, b in regions[i])
+
+
+def test_passages_recall_against_brute_force(spark, capsys):
+    """Groups of documents with a passage changed at random, among common phrases and documents that hold its parts."""
+    rng = np.random.default_rng(21)
+    say = lambda k: rng.integers(10**6, 10**9, k)
+    phrases = [rng.integers(0, 10**6, 14) for _ in range(5)]
+    texts = []
+    for _ in range(25):
+        x = say(int(rng.integers(50, 200)))
+        texts.append(np.concatenate([say(9), x[: len(x) // 2], say(5)]))  # parts of it lead many of its seeds
+        texts.append(np.concatenate([say(3), x[len(x) // 2 :], say(30), phrases[int(rng.integers(5))]]))
+        for share in rng.uniform(0.0, 0.18, 4):
+            y = x.copy()
+            at = rng.random(len(y)) < share / 2  # two copies differ by both their changes
+            y[at] = say(int(at.sum()))
+            texts.append(np.concatenate([say(int(rng.integers(0, 60))), y, phrases[int(rng.integers(5))], say(int(rng.integers(0, 60)))]))
+    texts += [np.concatenate([say(40), phrases[i % 5], say(40)]) for i in range(40)]
+
+    def brute(x, y, least=50, same=0.8):
+        for d in range(-len(x) + least, len(y) - least + 1):
+            lo, hi = max(0, -d), min(len(x), len(y) - d)
+            equal = x[lo:hi] == y[lo + d : hi + d]
+            if equal.sum() < same * least:
+                continue
+            sums = np.concatenate([[0], np.cumsum(equal - same)])
+            if (sums[least:] - np.minimum.accumulate(sums)[: len(sums) - least]).max() > -1e-9:
+                return True
+        return False
+
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if brute(texts[i], texts[j])}
+    docs = documents(spark, [" ".join(f"u{v}" for v in t) for t in texts])
+    rows = substring_dedup.repeated_passages(docs, per_fragment=2000).collect()
+    for r in rows:  # what is reported holds
+        x, y = texts[r["id"]][r["start"] : r["end"]], texts[r["other_id"]][r["other_start"] : r["other_end"]]
+        assert len(x) >= 50 and r["n_same"] >= 0.8 * max(len(x), len(y)) - 1e-9
+        if len(x) == len(y):
+            assert (x == y).sum() == r["n_same"]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in rows:
+        root[find(r["id"])] = find(r["other_id"])
+    joined = sum(find(i) == find(j) for i, j in want) / len(want)
+    with capsys.disabled():
+        print(f"pairs {len(want)}, connected {joined:.3f}", end=" ")
+    assert joined >= 0.9
+    regions = substring_dedup.repeated_regions(docs, per_fragment=2000).collect()
+    component = {r["id"]: r["component"] for r in regions}
+    assert all((component[r["id"]] == component[r["other_id"]]) for r in rows) and set(component) == {x for r in rows for x in (r["id"], r["other_id"])}
+
+
+def test_passages_of_odd_rows(spark):
+    """Repeated and null identifiers, nulls, a very long text, ties, and columns whose names clash."""
+    rng = np.random.default_rng(3)
+    say = lambda k: " ".join(f"u{j}" for j in rng.integers(0, 10**9, k))
+    x, y, long = say(60), say(70), say(30_000)
+    rows = [(1, x), (1, y), (1, x), (2, f"{say(5)} {y}"), (3, f"{x} {say(4)}"), (None, x), (4, None), (5, ""), (6, long), (7, f"{say(3)} {long}"), (8, "w " * 40_000), (9, "w " * 500), (10, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("frag", "src", "cut", "b", "a", "words", "id"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = {(r["id"], r["other_id"]) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert {frozenset(p) for p in got} == {frozenset(p) for p in ((1, 2), (1, 3), (6, 7), (8, 9))}
+    regions = {(r["id"], r["region"]): (r["start"], r["end"], r["component"]) for r in substring_dedup.repeated_regions(docs).collect()}
+    assert regions[7, 0] == (3, 30_003, 6) and regions[2, 0] == (5, 75, 1) and regions[3, 0] == (0, 60, 1)
+    assert substring_dedup.repeated_regions(docs.filter("false")).count() == 0
 
 
 # 9
@@ -561,3 +729,41 @@ def test_pipeline_of_nothing_and_odd_rows(spark):
         for name, step in corpus_pipeline.STAGES:
             docs = stage(step(spark, docs.withColumn("digest", F.lit(1)).drop("digest"), DATA), name)
     assert docs.columns[0] == "doc_id"
+
+
+# Odd rows
+
+
+@pytest.mark.parametrize("name", ["shards", "exact", "pack", "jaccard", "leaks", "warc"])
+def test_clashing_columns_nulls_and_long_texts(spark, name):
+    """Columns named as the operators name theirs, null and repeated identifiers, empty and very long texts."""
+    long = "word and other words of it " * 20_000
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (2, ""), (3, long), (4, long), (4, long), (None, "a b c d e f g"), (5, " ")], "doc_id long, text string")
+    for c in ("id", "digest", "name", "key", "keep_id", "frag", "src", "cut", "cls", "n", "gram", "length", "salt", "sequence", "words", "hashes", "m", "bits", "__bits", "hit", "url", "html", "target", "shard", "rows", "component"):
+        docs = docs.withColumn(c, F.lit("x"))
+    bench = spark.createDataFrame([(7, "b c d", "x"), (None, None, "x")], "item_id long, text string, words string")
+    if name == "shards":
+        assert sharding.sharded(docs, 1000).count() == 8
+    elif name == "exact":
+        got = exact_dedup.exact_duplicates(docs)
+        assert got.count() == 8 and {r["group_size"] for r in got.filter("id = 4").collect()} == {3}
+        left = exact_dedup.drop_exact_duplicates(docs)
+        assert left.columns == docs.columns and left.count() == 4
+    elif name == "pack":
+        got = packing.pack(docs).collect()
+        assert Counter(r["id"] for r in got if r["length"] == 1) == Counter([2, 2]) and sum(r["length"] for r in got if r["id"] == 3) > 100_000
+    elif name == "jaccard":
+        got = {(r["id"], r["n"], r["component"]) for r in jaccard_join.jaccard_components(docs).collect()}
+        assert (4, 6, 3) in got and (2, 0, 2) in got and (None, 3, None) in got
+        left = jaccard_join.one_of_each(docs)
+        assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.select("doc_id").collect()) == ["1", "2", "2", "3", "5", "None"]
+    elif name == "leaks":
+        got = decontaminate.contamination(docs, bench)
+        assert got.count() == 8 and got.filter("n_hit > 0").count() == 2
+        left = decontaminate.drop_contaminated(docs, bench)
+        assert left.columns == docs.columns and left.count() == 6
+    else:
+        pages = docs.withColumn("page_id", F.col("doc_id")).withColumn("html", F.col("text"))
+        index = warc.write_warc(pages)
+        back = warc.read_warc(index, "file:///").collect()
+        assert len(back) == 8 and Counter(r["record_type"] for r in back) == Counter({"response": 7, "revisit": 1})

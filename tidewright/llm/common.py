@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +14,46 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which the driver and all executors share.
 
-    Only where the session names none (tests on one machine) a folder of our own is set.
+    Where the session names none, a local master gets a folder of its own; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+#: Paths made so far, by those who want to know (scratch()).
+_recording: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the paths that fresh_path() gives inside, for discard() once what was made from them is written."""
+    made: list[str] = []
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording.remove(made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables, archives and runs that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _recording:
+        made.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -83,3 +114,16 @@ def may_contain(bits: Column, key: Column, buckets: int = 512) -> Column:
     bit = F.pmod(spot, F.lit(BITMAP_BITS)).cast("int")
     byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8))) == 1, F.lit(False))
+
+
+def without(docs: DataFrame, lost: DataFrame, key: Column, name: str) -> DataFrame:
+    """docs without the rows whose key is in column `name` of lost; rows with a null key stay.
+
+    A bitmap filter of bounded size tells most rows that stay, whole texts and all, from the few that must meet lost in a
+    join. docs is read twice: pass a staged or scanned table.
+    """
+    bits, own, gone = (f"__{x}_{uuid.uuid4().hex}" for x in ("bits", "key", "lost"))  # no column of docs
+    marked = docs.crossJoin(F.broadcast(key_filter(lost, name).withColumnRenamed("bits", bits))).withColumn(own, key)
+    maybe = may_contain(F.col(bits), F.col(own)) & F.col(own).isNotNull()
+    rest = marked.filter(maybe).join(lost.select(F.col(name).alias(gone)), F.col(own) == F.col(gone), "left_anti")
+    return marked.filter(~maybe).unionByName(rest).drop(bits, own)
