@@ -233,3 +233,12 @@ def test_subset_command(spark, tmp_path, monkeypatch):
     subset.main([src, out, "--target", "ret", "--factors", "1", "--ids", "2", "--years", "1"], spark)
     got = spark.read.csv(out, header=True)
     assert got.count() == 12 and len(got.columns) == 4
+
+
+def test_ranks_of_a_month_in_parts(spark):
+    rows = [(dt.date(2000, 1 + i % 2, 1), i, float((i * 37) % 23), float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "month date, permno long, s double, r double")
+    one = {(r["month"], r["permno"]): r["__share"] for r in portfolio.month_share(df, "s").collect()}
+    assert {(r["month"], r["permno"]): r["__share"] for r in portfolio.month_share(df, "s", tasks=7).collect()} == one
+    a, b = (portfolio.quantile_portfolios(df, "s", "r", n=4, tasks=k)[1].orderBy("month").collect() for k in (1, 5))
+    assert a == b

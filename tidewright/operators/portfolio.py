@@ -8,20 +8,43 @@ from pyspark.sql import functions as F
 from tidewright.schema import require_columns
 
 
+def month_share(rows: DataFrame, score: str, month: str = "month", id: str = "permno", tasks: int = 1) -> DataFrame:
+    """rows with __share: the rank by score within the month, ties broken by id, over the month's count.
+
+    tasks: parts that a month is cut into by its score's approximate quantiles, for months too large for a task; parts are
+    ranked apart and shifted by the counts of lower parts, so the ranks are the same.
+    """
+    if tasks == 1:
+        by = Window.partitionBy(month)
+        return rows.withColumn("__share", F.row_number().over(by.orderBy(score, id)) / F.count("*").over(by))
+    spark, steps = rows.sparkSession, [i / tasks for i in range(1, tasks)]
+    found = rows.groupBy(month).agg(F.percentile_approx(score, F.array(*map(F.lit, steps)), 100 * tasks).cast("array<double>").alias("cuts")).collect()
+    # a row of `tasks` numbers per month, the same for both uses below
+    cuts = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in found], f"__m {rows.schema[month].dataType.simpleString()}, cuts array<double>"))
+    part = F.size(F.filter("cuts", lambda c: c < F.col(score)))
+    dealt = rows.join(cuts, rows[month] == F.col("__m")).withColumn("__part", part).drop("cuts")
+    counts = dealt.groupBy("__m", "__part").agg(F.count("*").alias("__k"))
+    whole = Window.partitionBy("__m")
+    shift = counts.select(F.col("__m").alias("__month"), F.col("__part").alias("__p"), F.sum("__k").over(whole).alias("__n"), (F.sum("__k").over(whole.orderBy("__part")) - F.col("__k")).alias("__shift"))
+    own = F.row_number().over(Window.partitionBy("__m", "__part").orderBy(score, id))
+    ranked = dealt.withColumn("__own", own).join(F.broadcast(shift), (F.col("__m") == F.col("__month")) & (F.col("__part") == F.col("__p")))
+    return ranked.select(*(F.col(f"`{c}`") for c in rows.columns), ((F.col("__own") + F.col("__shift")) / F.col("__n")).alias("__share"))
+
+
 def quantile_portfolios(
-    data: DataFrame, score: str, ret: str, month: str = "month", id: str = "permno", n: int = 10, weight: str | None = None
+    data: DataFrame, score: str, ret: str, month: str = "month", id: str = "permno", n: int = 10, weight: str | None = None, tasks: int = 1
 ) -> tuple[DataFrame, DataFrame]:
     """(long, wide): mean returns of n score buckets per month, and a column per bucket with the spread of last and first.
 
-    bucket = clip(ceil(rank / count * n), 1, n), ties in the score broken by id. One exchange on the month.
+    bucket = clip(ceil(rank / count * n), 1, n), ties in the score broken by id. One exchange on the month, or on the parts
+    of a month that `tasks` asks for.
     """
     require_columns(data, [score, ret, month, id, *([weight] if weight else [])])
     if n < 2:
         raise ValueError("at least two portfolios")
     rows = data.dropna(subset=[score, ret, month])
-    by = Window.partitionBy(month)
-    rank = F.row_number().over(by.orderBy(score, id)) / F.count("*").over(by)
-    rows = rows.withColumn("portfolio", F.least(F.greatest(F.ceil(rank * n), F.lit(1)), F.lit(n)).cast("int"))
+    rows = month_share(rows, score, month, id, tasks)
+    rows = rows.withColumn("portfolio", F.least(F.greatest(F.ceil(F.col("__share") * n), F.lit(1)), F.lit(n)).cast("int")).drop("__share")
     if weight:
         rows = rows.filter(F.col(weight) > 0)
         mean = F.sum(F.col(weight) * F.col(ret)) / F.sum(weight)
