@@ -6,7 +6,8 @@
    LP (fewest sequences such that every length's pieces are covered) is solved by multiplicative weights: each length
    has a price, an unbounded knapsack by dynamic programming finds the dearest configurations, these gain mass, and the
    prices of the lengths they cover fall. The prices also give a lower bound by duality.
-3. Rounding: whole multiples of the configurations, or of a share of them, are used as far as pieces last, fullest first.
+3. Rounding: whole multiples of the configurations, or of a share or multiple of their mass, are used as far as pieces
+   last, fullest first.
    The program is solved again over what is left, until rounding yields nothing more, and the last rest is packed best-fit,
    longest first, over counts and not over pieces. The best share stays.
 4. The plan says for each length which ranks go to which sequences. Pieces get ranks without gathering a length in one
@@ -121,18 +122,16 @@ def _knapsack(price: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.nda
     return best, last
 
 
-def _trace(last: np.ndarray, c: int) -> list[int]:
+def _trace(last: list[int], used: list[int], c: int) -> list[int]:
+    """The lengths of the best filling of c; used[c]: the largest capacity up to c that ends in a length."""
     out = []
-    while c > 0:
-        if last[c]:
-            out.append(int(last[c]))
-            c -= int(last[c])
-        else:
-            c -= 1
+    while (c := used[c]) > 0:
+        out.append(last[c])
+        c -= last[c]
     return out
 
 
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 60, rate: float = 0.2, fall: float = 0.1, slack: float = 0.002) -> tuple[Counter, float]:
+def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 120, rate: float = 0.1, fall: float = 0.5, slack: float = 0.002) -> tuple[Counter, float]:
     """Mass of each configuration (a descending tuple of lengths), and a lower bound on the number of sequences."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[int(x)] for x in lengths], dtype=float)
@@ -141,6 +140,8 @@ def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 60, rate: f
     bound, mass, cover = 0.0, Counter(), np.zeros(len(lengths))
     for _ in range(rounds if len(lengths) else 0):
         best, last = _knapsack(price, lengths, size)
+        used = np.maximum.accumulate(np.where(last > 0, np.arange(size + 1), 0)).tolist()
+        last = last.tolist()
         bound = max(bound, float(need @ price) / best[size])
         value = price + best[size - lengths]
         quota = rate * need  # what a length may gain this round
@@ -148,7 +149,7 @@ def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 60, rate: f
         for i in np.argsort(-value, kind="stable"):
             if value[i] < (1 - slack) * best[size] and seen:
                 break
-            config = tuple(sorted([int(lengths[i]), *_trace(last, size - int(lengths[i]))], reverse=True))
+            config = tuple(sorted([int(lengths[i]), *_trace(last, used, size - int(lengths[i]))], reverse=True))
             if config in seen:
                 continue
             seen.add(config)
@@ -170,30 +171,40 @@ def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = 60, rate: f
 def best_fit(left: dict[int, int], size: int = SIZE) -> Counter:
     """Best-fit packing, longest first, of counts of lengths into counts of configurations."""
     groups: dict[int, Counter] = {}  # room left: configurations
+    rooms = 0  # a bit for each room of some group
     for length in sorted(left, reverse=True):
         n = left[length]
         while n > 0:
-            room = next((r for r in range(length, size) if groups.get(r)), None)
-            if room is None:
+            fit = rooms >> length
+            if not fit:
                 k = min(size // length, n)
                 bins = n // k
                 groups.setdefault(size - k * length, Counter())[(length,) * k] += bins
+                rooms |= 1 << (size - k * length)
                 n -= k * bins
                 continue
+            room = length + (fit & -fit).bit_length() - 1
             config, bins = next(iter(groups[room].items()))
             k = min(room // length, n)
             bins = min(bins, n // k)
             groups[room][config] -= bins
             if not groups[room][config]:
                 del groups[room][config]
+                if not groups[room]:
+                    rooms ^= 1 << room
             groups.setdefault(room - k * length, Counter())[config + (length,) * k] += bins
+            rooms |= 1 << (room - k * length)
             n -= k * bins
-    return sum((Counter(x) for x in groups.values()), Counter())
+    out: Counter = Counter()
+    for x in groups.values():
+        out.update(x)
+    return out
 
 
-def rounded(histogram: dict[int, int], mass: Counter, size: int = SIZE, shares: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25), again: int = 2) -> Counter:
+def rounded(histogram: dict[int, int], mass: Counter, size: int = SIZE, bound: float = 0.0, shares: tuple[float, ...] = (16.0, 8.0, 4.0, 1.0, 0.5, 0.25), again: int = 2) -> Counter:
     """Whole counts of configurations that hold every piece once: of the shares of the mass that are rounded down, the one
-    whose rest packs best. The whole mass's rest is also solved and rounded again, `again` times at most."""
+    whose rest packs best. The first one's rest is also solved and rounded again, `again` times at most. A result that
+    meets the lower bound is taken at once."""
 
     def down(left: dict[int, int], mass: Counter, share: float) -> tuple[Counter, dict[int, int]]:
         left, used = dict(left), Counter()
@@ -206,11 +217,15 @@ def rounded(histogram: dict[int, int], mass: Counter, size: int = SIZE, shares:
                     left[length] -= n * k
         return used, {k: v for k, v in left.items() if v}
 
-    found = []
+    found, least = [], -(-bound // 1)
     for share in shares:
+        if found and sum(found[-1].values()) <= least:
+            break
         used, left = down(histogram, mass, share)
         found.append(used + best_fit(left, size))
-        for _ in range(again if share == 1.0 else 0):
+        for _ in range(again if share == shares[0] else 0):
+            if sum(found[-1].values()) <= least:
+                break
             more, rest = down(left, solve(left, size)[0], 1.0)
             if not more:
                 break
@@ -237,7 +252,8 @@ def pack(docs: DataFrame, size: int = SIZE, per_salt: int = 1000, **options) ->
     spark = docs.sparkSession
     cut = stage(pieces(docs, size=size, **options), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    rows = plan(rounded(histogram, solve(histogram, size)[0], size))
+    mass, bound = solve(histogram, size)
+    rows = plan(rounded(histogram, mass, size, bound - 1e-6))
     placed = spark.createDataFrame(rows or [(0, 0, 0, 1, 0, 0)], "length long, low long, high long, per long, first long, at long")
     # a length's salts by its own count: no group is much larger than per_salt
     salts = spark.createDataFrame([(k, -(-n // per_salt)) for k, n in histogram.items()] or [(0, 1)], "length long, salts long")
