@@ -6,7 +6,9 @@ words have equal hashes on every machine. Separators are ASCII bytes, so cutting
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +132,32 @@ def unpack_parts(raw: bytes, n: int) -> tuple[int, list[bytes]]:
     check, *sizes = np.frombuffer(raw, "<u8", n + 1, 1).tolist()
     stops = np.cumsum([9 + 8 * n, *sizes]).tolist()
     return check, [raw[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: workers live on from task to task, and would keep their largest task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(f: Callable) -> Callable:
+    """f, of one table or an iterator of batches, with trim() once its result is made."""
+
+    def each(found: Iterator) -> Iterator:
+        try:
+            yield from found
+        finally:
+            trim()
+
+    @wraps(f)
+    def run(rows):
+        found = f(rows)
+        if isinstance(found, Iterator):
+            return each(found)
+        trim()
+        return found
+
+    return run
