@@ -242,3 +242,9 @@ def test_ranks_of_a_month_in_parts(spark):
     assert {(r["month"], r["permno"]): r["__share"] for r in portfolio.month_share(df, "s", tasks=7).collect()} == one
     a, b = (portfolio.quantile_portfolios(df, "s", "r", n=4, tasks=k)[1].orderBy("month").collect() for k in (1, 5))
     assert a == b
+
+
+def test_packed_rows_tell_what_is_not_finite(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 0.1), (float("nan"), 2.0, 0.1), (1.0, float("inf"), 0.1), (None, 2.0, 0.1), (1.0, 2.0, None)], "a double, b double, y double")
+    assert [r["finite"] for r in clean.packed_rows(df, ["a", "b"], "y").collect()] == [True, False, False, False, False]
+    assert [r["finite"] for r in clean.packed_rows(df, ["a", "b"]).collect()] == [True, False, False, False, True]

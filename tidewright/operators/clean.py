@@ -130,6 +130,15 @@ def compact_subset(df: DataFrame, factors: list[str], target: str, n_factors: in
     return rows.select(id, month, target, *sorted(best))
 
 
+def packed_rows(df: DataFrame, columns: list[str], target: str | None = None, name: str = "x", mask: str = "finite") -> DataFrame:
+    """df with its columns as one array and whether all of a row's numbers (and its target) are there and finite."""
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf"))
+    whole = F.lit(True)
+    for c in [*columns, *([target] if target else [])]:
+        whole = whole & there(c)
+    return df.withColumn(name, F.array(*(F.col(c).cast("double") for c in columns))).withColumn(mask, whole)
+
+
 def dense_codes(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with sorted dense codes of a column: the window runs over distinct keys only."""
     keys = df.select(column).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(column)).cast("long") - 1)

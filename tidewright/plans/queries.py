@@ -171,6 +171,13 @@ def rolling_vol_scale(spark, d):
     return rounded(series.volatility_scaled(market_month(spark, d).select("month", "returns"), ["returns"]), 5)
 
 
+@query("""SELECT month, round(z, 6) AS qty, round(v, 5) AS returns FROM (SELECT month, row_number() OVER (ORDER BY month) AS rn, CASE WHEN count(qty) OVER w >= 36 THEN (qty - avg(qty) OVER w) / stddev_samp(qty) OVER w END AS z,
+    CASE WHEN count(returns) OVER l = 12 THEN returns / stddev_samp(returns) OVER l END AS v FROM market WINDOW w AS (ORDER BY month ROWS UNBOUNDED PRECEDING), l AS (ORDER BY month ROWS 11 PRECEDING)) WHERE rn > 36""")
+def volatility_standardised(spark, d):
+    rows = series.standardised(market_month(spark, d).select("month", "qty", "returns"), ["qty"], "returns")
+    return rows.select("month", F.round("qty", 6).alias("qty"), F.round("returns", 5).alias("returns"))
+
+
 _NBER = [(dt.date(1996, 3, 1), dt.date(1996, 9, 1)), (dt.date(1999, 1, 1), dt.date(1999, 6, 1))]
 
 
@@ -224,6 +231,14 @@ def nan_share(spark, d):
     return rounded(clean.null_shares(_holes(spark, d), ["qty", "sparse", "lret"]), 8)
 
 
+@query(f"WITH h AS ({_HOLES}) SELECT permno, month, round(coalesce(qty, 0) + coalesce(disc2, 0), 6) AS total, qty IS NOT NULL AND disc2 IS NOT NULL AND lret IS NOT NULL AS finite FROM (SELECT *, CASE WHEN permno % 4 > 0 THEN rev / 1000 END AS disc2 FROM h)")
+def packed_rows(spark, d):
+    """Characteristics as one array, with NaN, infinities and NULLs told by the mask; the array's sum stands for it here."""
+    h = _holes(spark, d).withColumn("r", F.when(F.col("permno") % 4 > 0, F.col("rev") / 1000))
+    rows = clean.packed_rows(h, ["qty", "r"], "lret")
+    return rows.select("permno", "month", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0))), 6).alias("total"), "finite")
+
+
 @query(f"WITH h AS ({_HOLES}) SELECT permno, month, qty, lret, rev, mcap, flat FROM h")
 def nan_share_drop(spark, d):
     return clean.drop_sparse_columns(_holes(spark, d), 0.6, ("permno", "month"))
