@@ -6,6 +6,7 @@ import re
 import string
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from tidewright.llm import decontaminate, exact_dedup, graph, html_extract, jaccard_join, kernels, packing, quality, sharding, substring_dedup, url_filter, warc
-from tidewright.llm.common import key_filter, may_contain, stage
+from tidewright.llm.common import key_filter, may_contain, settled, spread_join, stage, without
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,6 +64,21 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_joins_of_hot_keys(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("k"), "id")
+    keys = stage(rows.filter("k is not null").groupBy("k").agg(F.count("*").alias("m"), F.max("id").alias("top")).filter("k <> 8"), "keys")
+    want = {how: sorted(map(str, rows.join(keys, "k", how).select("k", "id", "top").collect())) for how in ("inner", "left")}
+    for how, share in product(("inner", "left"), (1, 4, 100, 4096)):
+        assert sorted(map(str, spread_join(rows, keys, "k", "m", 2000, how, share).select("k", "id", "top").collect())) == want[how]
+
+
+def test_rows_without_lost_keys(spark):
+    docs = spark.range(500).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("bits"))
+    lost = spark.range(0, 500, 2).withColumnRenamed("id", "gone")
+    left = without(docs, lost, docs["doc_id"], "gone")
+    assert left.columns == docs.columns and Counter(r["doc_id"] for r in left.collect()) == Counter(i if i % 7 else None for i in range(500) if i % 2 or i % 7 == 0)
+
+
 def test_words_and_shingles_by_hand():
     texts = ["A b  c\td e f", None, "", "x y", "é È É a", "a b c d e f a b c d e"]
     for first, data, offsets in kernels.parts(pa.array(texts), most=10):
@@ -633,6 +649,19 @@ def test_passages_recall_against_brute_force(spark, capsys):
     assert all((component[r["id"]] == component[r["other_id"]]) for r in rows) and set(component) == {x for r in rows for x in (r["id"], r["other_id"])}
 
 
+def test_rows_out_of_a_shuffle_are_written_first(spark):
+    rng = np.random.default_rng(9)
+    say = lambda k: " ".join(f"u{j}" for j in rng.integers(0, 10**9, k))
+    x = say(80)
+    docs = documents(spark, [f"{say(i)} {x}" for i in range(12)] + [say(50) for _ in range(40)])
+    dealt = docs.repartition(5, "text")
+    assert settled(docs, "a") is docs and settled(dealt, "a") is not dealt
+    assert {r["id"] for r in substring_dedup.repeated_regions(dealt).collect()} == set(range(12))
+    assert {r["component"] for r in substring_dedup.repeated_regions(dealt).collect()} == {0}
+    want = {(r["id"], r["component"]) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert {(r["id"], r["component"]) for r in jaccard_join.jaccard_components(dealt).collect()} == want
+
+
 def test_passages_of_odd_rows(spark):
     """Repeated and null identifiers, nulls, a very long text, ties, and columns whose names clash."""
     rng = np.random.default_rng(3)

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm import kernels
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which the driver and all executors share.
@@ -47,6 +49,7 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     paths.clear()
+    kernels.trim()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -63,6 +66,12 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df as it is where its plan has no exchange, so that each task finds its rows in the same order whenever it runs; else
+    staged."""
+    return stage(df, name) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

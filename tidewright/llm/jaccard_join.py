@@ -21,7 +21,8 @@ N-grams are told apart by hashes of 48 bits beside their fragment's number. Two
 each fall together with odds of 90,000 / (2**48 * fragments), which counts one shared n-gram too many; copies of a class in
 different sources are told by 32 bits and their n-grams. Keys that many rows have (a set, an n-gram, a leader) are dealt
 apart by their counts, not left to adaptive execution. Sources are numbered by task, so a task that runs again must read
-its rows in the same order, as scans of files do; a checksum of the names tells where it did not.
+its rows in the same order, as scans of files do: documents that come out of a shuffle are written first, and a checksum of
+the names tells where an order changed.
 
 Defined results: null, empty and blank texts have no n-grams and link with nothing; texts of fewer than k words are one
 n-gram; a null identifier gets its count but takes no part in linking; rows that repeat an identifier are one document
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import kernels
-from tidewright.llm.common import spread_join, stage, table
+from tidewright.llm.common import settled, spread_join, stage, table, without
 from tidewright.llm.graph import components
 from tidewright.llm.kernels import pack_parts, planes, unpack_parts, unplanes
 
@@ -96,7 +97,7 @@ def document_sets(texts: DataFrame, k: int) -> DataFrame:
                 cls = pa.array([raw[i : i + _NAME] for i in range(0, len(raw), _NAME)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(size)).cast(pa.int64()), pa.array(size, pa.int64()), cls], schema=_SETS)
 
-    return texts.mapInArrow(name, "id long, n long, cls binary")
+    return texts.mapInArrow(kernels.trimmed(name), "id long, n long, cls binary")
 
 
 def _cut_sets(texts: DataFrame, k: int, fragments: int, flush: int = 1_000_000) -> DataFrame:
@@ -146,7 +147,7 @@ def _cut_sets(texts: DataFrame, k: int, fragments: int, flush: int = 1_000_000)
         if total:
             yield out()
 
-    return texts.mapInArrow(cut, "frag int, src long, cut binary")
+    return texts.mapInArrow(kernels.trimmed(cut), "frag int, src long, cut binary")
 
 
 def _count_fragment(rows: pa.Table) -> pa.Table:
@@ -257,12 +258,13 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, threshold: int, per_salt: i
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80, per_fragment: int = 1_000_000, parts: int = 4, block: int = 1000) -> DataFrame:
     """(id, n, component) for every row of docs; threshold in hundredths, parts: fragments of the overlap count."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = settled(texts, "texts")
     named = stage(document_sets(texts, k), "sets")
     classes = stage(named.filter("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n")), "classes")
     size = classes.agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
     fragments, n_rows = max(1, -(-int(size["n"] or 0) // per_fragment)), int(size["rows"] or 0)
-    shared = _cut_sets(texts.filter("id is not null"), k, fragments, min(per_fragment, 1_000_000)).groupBy("frag").applyInArrow(_count_fragment, "src long, cut binary")
-    opened = stage(shared.groupBy("src").applyInArrow(_put_together(threshold), "cls long, name binary, n long, alpha long, grams array<long>"), "open")
+    shared = _cut_sets(texts.filter("id is not null"), k, fragments, min(per_fragment, 1_000_000)).groupBy("frag").applyInArrow(kernels.trimmed(_count_fragment), "src long, cut binary")
+    opened = stage(shared.groupBy("src").applyInArrow(kernels.trimmed(_put_together(threshold)), "cls long, name binary, n long, alpha long, grams array<long>"), "open")
 
     # if this is the first n-gram that two sets share, they share no more than either has from here on (ra, rb); where it
     # isn't, the pair has met before under a looser bound
@@ -334,8 +336,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without those that a link leads from to a smaller identifier; null identifiers stay."""
     found = stage(jaccard_components(docs, id_col, **options), "near")
-    lost = found.filter("component < id").select(F.col("id").alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+    return without(docs, stage(found.filter("component < id").select("id").distinct(), "lost"), docs[id_col].cast("long"), "id")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

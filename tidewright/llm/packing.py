@@ -20,19 +20,19 @@ packed like others; an empty table gives an empty result; columns beyond identif
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.llm import kernels
 from tidewright.llm.common import stage, table
 
 SIZE = 2048
@@ -51,19 +51,28 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.whole, self.fast = Tokenizer.from_file(path), None
+        self.path, self.fast = path, None
+        whole = self.whole
         self.long = re.compile(rf"[^ \n]{{{long}}}")
-        made = json.loads(self.whole.to_str())
-        self.special = {x.content: i for i, x in self.whole.get_added_tokens_decoder().items()}
-        bytelevel = made["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        if bytelevel and made["normalizer"] is None and made["model"]["type"] == "BPE" and not made["model"]["ignore_merges"]:
+        self.special = {x.content: i for i, x in whole.get_added_tokens_decoder().items()}
+        cut, model = whole.pre_tokenizer, whole.model
+        bytelevel = isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        if bytelevel and whole.normalizer is None and isinstance(model, BPE) and not model.ignore_merges:
             # the alphabet of byte-level BPE: printable bytes stand for themselves, others are shifted up from 256
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
-            ranks = {bytes(byte[c] for c in token): i for token, i in self.whole.get_vocab(with_added_tokens=False).items() if token not in self.special}
+            ranks = {bytes(byte[c] for c in token): i for token, i in whole.get_vocab(with_added_tokens=False).items() if token not in self.special}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+            del self.whole  # read again where it is needed
+
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -105,7 +114,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, _PIECES, strict=True)], schema=_PIECES)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(cut, "id long, piece int, start long, length long, crc long")
+    return texts.mapInArrow(kernels.trimmed(cut), "id long, piece int, start long, length long, crc long")
 
 
 def _knapsack(price: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,14 +7,15 @@ text has an expected grade and tail probabilities; it is kept when P(grade >= 2)
 Features are words (lower-cased, each hashed twice, so that a chance collision carries half a weight) and binned shares of
 the text's make-up (symbols, capitals, repeated words and so on), all in one hashed space.
 
-Fitting takes at most `max_rows` labelled rows (the documented bound: 10,000 by default, those whose identifiers hash
-lowest); only their hashed features come to the driver. Fitting is follow-the-regularised-leader with an L1 penalty,
+Fitting takes at most `max_rows` labelled rows (the documented bound: 20,000 by default, those whose identifiers hash
+lowest); only their hashed features come to the driver, a partition at a time. Fitting is follow-the-regularised-leader with an L1 penalty,
 in numpy and in a seeded order, and gives the same model for the same rows. Scoring is one Arrow pass over all texts
 without a shuffle; the model has a fixed size (4 bytes * 2**bits).
 
 Defined results: a null or empty text is scored by its make-up alone; labels with null identifiers or unclear grades are
 left out; labels that repeat an identifier count as the lowest grade; without labelled rows every text is kept with
-probability one; repeated rows and clashing columns of the documents are scored as they are.
+probability one; repeated rows and clashing columns of the documents are scored as they are. Identifiers of rated rows are
+64-bit integers.
 """
 
 from __future__ import annotations
@@ -106,9 +107,19 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def grade_slopes(score: float, grade: int, theta: np.ndarray) -> tuple[float, float, float]:
+    """(P(grade), derivative of log P by the score through the threshold below it, the same through the one above), with
+    thresholds theta[0] = -inf, ..., theta[-1] = inf: P = sigmoid(score - theta[grade]) - sigmoid(score - theta[grade + 1])."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-min(max(x, -40.0), 40.0)))
+    low, high = sigmoid(score - theta[grade]), sigmoid(score - theta[grade + 1])
+    p = max(low - high, 1e-6)
+    return p, low * (1 - low) / p, high * (1 - high) / p
+
+
 def fit(bounds: np.ndarray, feats: np.ndarray, grades: np.ndarray, bits: int, grades_n: int = GRADES, l1: float = 3.0, l2: float = 1.0, rate: float = 0.1, passes: int = 5, least_steps: int = 20_000, least_rows: int = 4, seed: int = 1) -> Ordinal:
     """Fit on the features feats[bounds[i]:bounds[i + 1]] of each row i, by follow-the-regularised-leader with an L1
-    penalty: weights of rare features stay zero. Few rows are passed over more often, to least_steps steps."""
+    penalty: weights of rare features stay zero. Few rows are passed over more often, to least_steps steps. feats is
+    overwritten, if it may be, with the numbers of the features that are kept."""
     n = len(grades)
     if n == 0:
         return Ordinal(bits, np.zeros(1 << bits, dtype=np.float32), np.full(grades_n - 1, -1e3))
@@ -119,11 +130,15 @@ def fit(bounds: np.ndarray, feats: np.ndarray, grades: np.ndarray, bits: int, gr
     names = np.flatnonzero(seen >= min(least_rows, max(1, n // 10)))
     place = np.full(1 << bits, -1, dtype=np.int32)
     place[names] = np.arange(len(names), dtype=np.int32)
-    kept = [place[feats[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    kept = [x[x >= 0] for x in kept]
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int64)
-    slot = np.concatenate(kept)
-    del kept, seen, place
+    slot, at, stops = feats if feats.flags.writeable else feats.copy(), 0, [0]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = place[slot[a:b]]
+        own = own[own >= 0]
+        slot[at : at + len(own)] = own
+        at += len(own)
+        stops.append(at)
+    bounds = stops
+    del seen, place
     share = np.array([((grades >= k).sum() + 0.5) / (n + 1) for k in range(1, grades_n)])
     theta = np.concatenate([[-np.inf], -np.log(share / (1 - share)), [np.inf]])
     z, q, t2 = np.zeros(len(names)), np.zeros(len(names)), np.ones(grades_n + 1)
@@ -133,18 +148,11 @@ def fit(bounds: np.ndarray, feats: np.ndarray, grades: np.ndarray, bits: int, gr
         zj = z[j]
         return -np.sign(zj) * np.maximum(np.abs(zj) - l1, 0) / ((1 + np.sqrt(q[j])) / rate + l2)
 
-    def sigmoid(x: float) -> float:
-        return 1 / (1 + np.exp(-min(max(x, -40.0), 40.0)))
-
     for _ in range(max(passes, -(-least_steps // n))):
         for i in rng.permutation(n):
             j, y = slot[bounds[i] : bounds[i + 1]], grades[i]
             w = weights(j)
-            s = float(w.sum())
-            low = sigmoid(s - theta[y])  # P(grade >= y)
-            high = sigmoid(s - theta[y + 1])  # P(grade > y)
-            p = max(low - high, 1e-6)
-            dl, dh = low * (1 - low) / p, high * (1 - high) / p
+            _, dl, dh = grade_slopes(float(w.sum()), y, theta)
             g = -(dl - dh)
             z[j] += g - (np.sqrt(q[j] + g * g) - np.sqrt(q[j])) / rate * w
             q[j] += g * g
@@ -165,7 +173,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 10_000, **options) -> Ordinal:
+def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 20, max_rows: int = 20_000, **options) -> Ordinal:
     """A model from rated (id, grade) rows and the texts they belong to."""
     # at most max_rows rows of two numbers: may be broadcast
     chosen = F.broadcast(rated.orderBy(F.xxhash64("id"), "id").limit(max_rows))
@@ -182,13 +190,16 @@ def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: s
                 })
 
     # of rows that repeat an identifier one is used, so that no more than max_rows come
-    rows = texts.mapInArrow(pack, "id long, grade int, feats binary").groupBy("id").agg(F.min("grade").alias("grade"), F.min("feats").alias("feats")).collect()
-    rows.sort(key=lambda r: r["id"])
-    bounds = np.concatenate([[0], np.cumsum([len(r["feats"]) // 4 for r in rows])]).astype(np.int64)
-    grades = np.array([r["grade"] for r in rows], dtype=np.int64)
-    feats = np.frombuffer(b"".join(r["feats"] for r in rows), dtype="<i4")
-    del rows
-    return fit(bounds, feats, grades, bits, **options)
+    rows = texts.mapInArrow(kernels.trimmed(pack), "id long, grade int, feats binary").groupBy("id").agg(F.min("grade").alias("grade"), F.min("feats").alias("feats"))
+    came = sorted(((r["id"], r["grade"], np.frombuffer(r["feats"], dtype="<i4")) for r in rows.toLocalIterator()), key=lambda r: r[0])
+    bounds = np.concatenate([[0], np.cumsum([len(x) for _, _, x in came])]).astype(np.int64)
+    grades = np.array([y for _, y, _ in came], dtype=np.int64)
+    feats = np.concatenate([x for _, _, x in came]) if came else np.zeros(0, dtype=np.int32)
+    del came
+    model = fit(bounds, feats, grades, bits, **options)
+    del feats
+    kernels.trim()  # the driver's too
+    return model
 
 
 def rated_texts(model: Ordinal, text: Column, spark: SparkSession) -> Column:
@@ -197,10 +208,13 @@ def rated_texts(model: Ordinal, text: Column, spark: SparkSession) -> Column:
 
     @F.arrow_udf("struct<score:double,expected_grade:double,p_poor_or_better:double,p_good:double>")
     def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            score = sent.value.score(batch)
-            tails = sent.value.tails(score)
-            yield pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in (score, tails.sum(axis=1), tails[:, 0], tails[:, -1])], names=["score", "expected_grade", "p_poor_or_better", "p_good"])
+        try:
+            for batch in texts:
+                score = sent.value.score(batch)
+                tails = sent.value.tails(score)
+                yield pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in (score, tails.sum(axis=1), tails[:, 0], tails[:, -1])], names=["score", "expected_grade", "p_poor_or_better", "p_good"])
+        finally:
+            kernels.trim()
 
     return rate(F.coalesce(text.cast("string"), F.lit("")))
 
