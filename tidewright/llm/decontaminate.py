@@ -18,47 +18,61 @@ counts); repeated documents get a row each; repeated items count once per item_i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import key_filter, may_contain, stage, table
+from tidewright.llm.common import key_filter, may_contain, stage, table, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased (A-Z only) words of a text; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+#: The other characters up to 0x7F end words.
+BREAKS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
-def grams(words: Column, k: int) -> Column:
-    """Hashes of all k-grams of an array of words."""
-    each = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))
-    return F.when(F.size(words) >= k, each).otherwise(F.array().cast("array<bigint>"))
+def words_of(text: Column) -> Column:
+    """Lower-cased (A-Z only) words of a text; none for null."""
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + BREAKS, LOWER + " " * len(BREAKS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
-def least(hashes: Column, w: int) -> Column:
-    """The least of every w consecutive hashes."""
-    if w == 1:
-        return hashes
-    each = F.transform(F.sequence(F.lit(1), F.size(hashes) - (w - 1)), lambda i: F.array_min(F.slice(hashes, i, w)))
-    return F.when(F.size(hashes) >= w, each).otherwise(F.array().cast("array<bigint>"))
+def _spread(df: DataFrame, name: str, width: int, both: Callable[[Column, Column], Column]) -> DataFrame:
+    """Column `name` (an array) with both() of `width` neighbours in each place, by doubling: a step of its own, so that
+    each array is made once; the last places, which have fewer neighbours, go."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        df = df.withColumn(name, F.zip_with(name, F.slice(name, F.lit(step + 1), F.size(name)), both))
+        have += step
+    return df.withColumn(name, F.slice(name, F.lit(1), F.greatest(F.size(name) - (width - 1), F.lit(0)))) if width > 1 else df
 
 
 def winnowed(df: DataFrame, t: int, k: int = 5) -> DataFrame:
-    """df (words, ...) with m: the fingerprint of each span of t words, in order."""
+    """df (hashes: of words, ...) with m: the fingerprint of each span of t words, in order."""
     k = min(k, t)
-    return df.withColumn("h", grams(F.col("words"), k)).withColumn("m", least(F.col("h"), t - k + 1)).drop("h")
+    grams = _spread(df.withColumn("m", F.col("hashes")), "m", k, lambda x, y: F.xxhash64(x, y))
+    return _spread(grams, "m", t - k + 1, lambda x, y: F.least(x, y))
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    """df (words, ...) with hashes of its words."""
+    return df.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
+
+
+def name_of(id: Column, text: Column) -> Column:
+    """A 128-bit name of a row."""
+    return F.struct(F.xxhash64(id, text).alias("x"), F.xxhash64(F.lit(1), text, id).alias("y"))
 
 
 def _spans(items: DataFrame, t: int, whole: bool) -> DataFrame:
     """(t, m, span, item_ids): the spans of t words of items; whole: of items of just t words, else of t words and more."""
     fit = items.filter(F.size("words") == t if whole else F.size("words") >= t)
     at = F.explode(F.transform("m", lambda m, i: F.struct(m.alias("m"), F.array_join(F.slice("words", i + 1, t), " ").alias("span"))))
-    each = winnowed(fit, t).select("item", at.alias("x")).select("item", "x.m", "x.span")
+    each = winnowed(hashed(fit), t).select("item", at.alias("x")).select("item", "x.m", "x.span")
     return each.groupBy("span").agg(F.first("m").alias("m"), F.array_sort(F.collect_set("item")).alias("item_ids")).select(F.lit(t).alias("t"), "m", "span", "item_ids")
 
 
@@ -66,7 +80,7 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """(id, key, n_words, n_hit, item_ids, positions) for every row of docs; key: a hash of id and text."""
+    """(id, key, n_words, n_hit, item_ids, positions) for every row of docs; key: a 128-bit name of id and text."""
     items = benchmark.select(F.struct(F.col(item_col).cast("string").alias("id")).alias("item"), words_of(F.col(item_text_col).cast("string")).alias("words"))
     items = stage(items.filter(F.size("words") > 0), "items")
     # at most window - 1 numbers come to the driver
@@ -76,11 +90,11 @@ def contamination(
     prints = stage(spans.select("t", "m").distinct(), "prints")
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.withColumn("key", F.xxhash64("id", "text"))
-    found = texts.select("id", "key", words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
+    texts = texts.withColumn("key", name_of(F.col("id"), F.col("text")))
+    found = hashed(texts.select("id", "key", words_of(F.col("text")).alias("words"))).withColumn("n_words", F.size("words").cast("long")).drop("words")
     for t in sizes:
         found = winnowed(found, t).withColumn(f"m{t}", F.array_distinct("m")).drop("m")
-    found = stage(found.drop("words"), "fingerprints")
+    found = stage(found.drop("hashes"), "fingerprints")
     meets = reduce(DataFrame.unionByName, [found.select("key", F.lit(t).alias("t"), F.explode(f"m{t}").alias("m")) for t in sizes])
     hit = stage(meets.join(prints, ["t", "m"]).groupBy("key").agg(F.collect_set(F.struct("t", "m")).alias("hits")), "hit")
 
@@ -91,7 +105,7 @@ def contamination(
         own = F.transform(F.filter("hits", lambda x: x["t"] == t), lambda x: x["m"])
         at = F.filter(F.transform("m", lambda m, i: F.when(F.array_contains("own", m), i + 1)), lambda i: i.isNotNull())
         # no filter on m: pushed down, it would be worked out inside the predicate again
-        cut = winnowed(suspects.withColumn("own", own), t)
+        cut = winnowed(hashed(suspects.withColumn("own", own)), t)
         per.append(cut.withColumn("pos", F.explode(at)).select("key", F.lit(t).alias("t"), "pos", F.array_join(F.slice("words", F.col("pos"), t), " ").alias("span")))
     exact = reduce(DataFrame.unionByName, per).join(spans.select("t", "span", "item_ids"), ["t", "span"])
     each = exact.groupBy("key").agg(F.collect_set(F.struct("pos", "t")).alias("at"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
@@ -107,7 +121,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """docs without those that share a span with the benchmark."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     bad = stage(contamination(docs, benchmark, **options).filter("n_hit > 0").select(F.col("key").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, F.xxhash64(docs[id_col], docs[text_col].cast("string")) == F.col("__bad"), "left_anti")
+    return without(docs, bad, name_of(docs[id_col], docs[text_col].cast("string")), "__bad")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
