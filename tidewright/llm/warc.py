@@ -1,13 +1,13 @@
 """WARC archives with an index: written by tasks, read back by coalesced byte ranges.
 
 Writing: digests are taken in the JVM; of equal payloads of at least `least_bytes` the largest id becomes a response and
-the others revisit it (one aggregated row per digest, joined on narrow rows; the html itself only meets its revisit flag
-in a join on the unique id). Each task appends gzip members, one per record, to archives of up to `archive_bytes` in the
+the others revisit it (one aggregated row per digest, joined on narrow rows; of the html itself only what a filter picks as
+a possible revisit meets its flag in a join). Each task appends gzip members, one per record, to archives of up to `archive_bytes` in the
 shared folder. A task that runs twice writes archives of another name; the index holds only those of the attempt that
 Spark committed, so lost executors leave at worst files that nobody reads.
 
 Index first: a row per record with archive, offset, length, url, digest, type and id, kept as Parquet. Reading starts
-from selected index rows: they are dealt by archive and stretch of `range_bytes`, sorted by offset, and neighbours whose
+from selected index rows: they are dealt by archive and stretch of `range_bytes` to a task per as many bytes of records, sorted by offset, and neighbours whose
 gap is at most `gap_bytes` are read with one call. Every payload read is checked against its record's digest.
 
 Defined results: null html is an empty payload; a null url leaves out WARC-Target-URI; control characters and blanks in
@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import fresh_path, stage, table
+from tidewright.llm import kernels
+from tidewright.llm.common import fresh_path, key_filter, may_contain, stage, table
 
 INDEX = "id long, archive string, offset long, length long, url string, digest string, record_type string, refers_to long, payload_bytes long"
 READ = "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -92,7 +93,12 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     first = named.groupBy("sha1", "size", "name").agg(F.max("id").alias("target"), F.count("*").alias("n")).filter("n > 1")
     linked = named.join(first, ["sha1", "size", "name"]).filter("id <> target").select("id", "target", "sha1")
     revisits = stage(linked.groupBy("id", "sha1").agg(F.max("target").alias("target")), "revisits")  # repeated ids meet once
-    marked = rows.withColumn("sha1", F.unhex(F.sha1(raw))).join(revisits, ["id", "sha1"], "left").select("id", "url", "html", "target")
+    # html itself meets its flag only where a filter of bounded size says that it may have one
+    named = F.struct("id", "sha1")
+    bits = F.broadcast(stage(key_filter(revisits.select(named.alias("row")), "row"), "revisit-filter"))
+    keyed = rows.withColumn("sha1", F.unhex(F.sha1(raw))).crossJoin(bits).withColumn("may", may_contain(F.col("bits"), named)).drop("bits")
+    met = keyed.filter("may").join(revisits, ["id", "sha1"], "left").select("id", "url", "html", "target")
+    marked = met.unionByName(keyed.filter("not may").select("id", "url", "html", F.lit(None).cast("long").alias("target")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _fs(path)
@@ -119,7 +125,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             if out is not None:
                 out.close()
 
-    return stage(marked.mapInArrow(write, INDEX), "warc-index")
+    return stage(marked.mapInArrow(kernels.trimmed(write), INDEX), "warc-index")
 
 
 _ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in INDEX.split(", "))])
@@ -139,7 +145,9 @@ def runs(rows: list[tuple[int, int]], gap_bytes: int, most: int) -> list[tuple[i
 def read_warc(index: DataFrame, scheme_from: str, range_bytes: int = 16 << 20, gap_bytes: int = 64 << 10, with_payload: bool = True) -> DataFrame:
     """The records of the selected index rows. scheme_from: a URI of the archives' file system."""
     stretch = F.floor(F.col("offset") / range_bytes)
-    dealt = index.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-int(size) // range_bytes), index.sparkSession.sparkContext.defaultParallelism)  # not merged by the index's own few bytes
+    dealt = index.select("archive", "offset", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _fs(scheme_from)[0]
@@ -156,7 +164,7 @@ def read_warc(index: DataFrame, scheme_from: str, range_bytes: int = 16 << 20, g
                             found = [x | {"payload": None} for x in found]
                         yield pa.RecordBatch.from_pylist(found, schema=_ARROW_READ)
 
-    return dealt.mapInArrow(read, READ)
+    return dealt.mapInArrow(kernels.trimmed(read), READ)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
