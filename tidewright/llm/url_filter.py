@@ -8,7 +8,7 @@ solved for rho and held within [rho_min, rho_max]. A host is blocked when the lo
 mean - z * sd of Beta(a, b), reaches `threshold`.
 
 Counts go through partial aggregation, so one host with a third of all rows is one row per task; reputations are made
-for each distinct host, and meet the pages in one left join that adaptive execution may broadcast or split.
+for each distinct host, and meet the pages in one join that splits hosts of many pages by their counts.
 
 Defined results: a null url, or one without "://", has empty host and path, fits no rule and is judged like a host
 without labels; repeated page_ids give a row each; null outcomes are no labels; without any label nothing is blocked.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import table
+from tidewright.llm.common import spread_join, stage, table
 
 #: (verdict, host, path); the longest that fits wins, on a tie the longer host, then block.
 RULES = (
@@ -61,41 +61,39 @@ def domain_of(host: Column, two=TWO_LABEL_SUFFIXES) -> Column:
     return F.when(F.substring_index(host, ".", -2).isin(*two), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
-def _strength(groups: DataFrame, rho_min: float, rho_max: float) -> DataFrame:
-    """One row with `s`, the strength of the prior, from groups with n, bad and the parent's mean mu."""
+def _strength(groups: DataFrame, rho_min: float, rho_max: float) -> float:
+    """The strength of the prior, from groups with n, bad and the parent's mean mu."""
     n, v = F.col("n"), F.col("mu") * (1 - F.col("mu"))
-    sums = groups.agg(
-        F.sum(n * F.pow(F.col("bad") / n - F.col("mu"), 2) - v).alias("over"), F.sum(v * (n - 1)).alias("room")
-    )
-    rho = F.when(F.col("room") > 0, F.col("over") / F.col("room")).otherwise(F.lit(rho_max))
-    return sums.select((1 / F.least(F.greatest(rho, F.lit(rho_min)), F.lit(rho_max)) - 1).alias("s"))
+    over, room = groups.agg(F.sum(n * F.pow(F.col("bad") / n - F.col("mu"), 2) - v), F.sum(v * (n - 1))).first()
+    rho = over / room if room else rho_max
+    return 1 / min(max(rho, rho_min), rho_max) - 1
 
 
 def reputation(hosts: DataFrame, outcomes: DataFrame, two=TWO_LABEL_SUFFIXES, rho_min: float = 0.001, rho_max: float = 0.5) -> DataFrame:
     """(host, n, mean, bound inputs a and b) for every host in hosts (host) given outcomes (host, bad 0/1)."""
     of_host = outcomes.filter("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    of_host = of_host.withColumns({"domain": domain_of(F.col("host"), two), "suffix": suffix_of(F.col("host"), two)})
-    of_domain = of_host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    of_suffix = of_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = of_suffix.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean0"))
-
-    def shrunk(groups: DataFrame) -> DataFrame:
-        s = F.broadcast(_strength(groups, rho_min, rho_max))  # one row
-        return groups.crossJoin(s).withColumn("mean", (F.col("bad") + F.col("s") * F.col("mu")) / (F.col("n") + F.col("s")))
-
-    suffixes = shrunk(of_suffix.crossJoin(F.broadcast(whole)).withColumnRenamed("mean0", "mu")).select("suffix", F.col("mean").alias("suffix_mean"))
-    domains = shrunk(of_domain.join(suffixes, "suffix").withColumnRenamed("suffix_mean", "mu")).select("domain", F.col("mean").alias("domain_mean"))
-    known = of_host.join(domains, "domain").withColumnRenamed("domain_mean", "mu")
-    s3 = F.broadcast(_strength(known, rho_min, rho_max))
+    # a row per labelled host: counted once, written, and summed up from there
+    of_host = stage(of_host.withColumns({"domain": domain_of(F.col("host"), two), "suffix": suffix_of(F.col("host"), two)}), "hosts")
+    of_domain = stage(of_host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    of_suffix = stage(of_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
+    # the overall mean and a strength per level are single numbers, which come to the driver
+    mean0 = of_suffix.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).first()[0]
+
+    def shrunk(groups: DataFrame, name: str) -> DataFrame:
+        s = F.lit(_strength(groups, rho_min, rho_max))
+        return stage(groups.withColumn("mean", (F.col("bad") + s * F.col("mu")) / (F.col("n") + s)), name)
+
+    suffixes = shrunk(of_suffix.withColumn("mu", F.lit(mean0)), "suffix-means").select("suffix", F.col("mean").alias("suffix_mean"))
+    domains = shrunk(of_domain.join(suffixes, "suffix").withColumnRenamed("suffix_mean", "mu"), "domain-means").select("domain", F.col("mean").alias("domain_mean"))
+    s3 = F.lit(_strength(of_host.join(domains, "domain").withColumnRenamed("domain_mean", "mu"), rho_min, rho_max))
     every = hosts.select("host").distinct().withColumns({"domain": domain_of(F.col("host"), two), "suffix": suffix_of(F.col("host"), two)})
-    prior = F.coalesce("domain_mean", "suffix_mean", "mean0")
+    prior = F.coalesce("domain_mean", "suffix_mean", F.lit(mean0))
     rated = (
         every.join(domains, "domain", "left").join(suffixes, "suffix", "left")
         .join(of_host.select("host", "n", "bad"), "host", "left")
-        .crossJoin(F.broadcast(whole)).crossJoin(s3)
     )
     n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
-    return rated.select("host", n.alias("n"), (bad + F.col("s") * prior).alias("a"), (n - bad + F.col("s") * (1 - prior)).alias("b"))
+    return rated.select("host", n.alias("n"), (bad + s3 * prior).alias("a"), (n - bad + s3 * (1 - prior)).alias("b"))
 
 
 def lower_bound(a: Column, b: Column, z: float) -> Column:
@@ -110,10 +108,13 @@ def judge(
     """(id, host, path, rule, verdict, bad_bound) for every row of pages; outcomes: (host, bad)."""
     url = F.col(url_col).cast("string")
     cut = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rated = reputation(cut, outcomes, two).select("host", F.round(lower_bound(F.col("a"), F.col("b"), z), 9).alias("bad_bound"))
+    hosts = stage(cut.groupBy("host").agg(F.count("*").alias("pages")), "page-hosts")
+    n_pages = hosts.agg(F.sum("pages")).first()[0] or 0
+    rated = reputation(hosts, outcomes, two).select("host", F.round(lower_bound(F.col("a"), F.col("b"), z), 9).alias("bad_bound"))
+    rated = stage(rated.join(hosts, "host"), "rated-hosts")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") >= threshold, "block").otherwise("allow")
-    return cut.join(rated, "host", "left").select("id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_bound")
+    return spread_join(cut, rated, "host", "pages", n_pages).select("id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_bound")
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad: quality 0 or toxic 1; null where the label leaves that open.
     """
     url = F.col("url").cast("string")
-    shown = pages.select(host_of(url).alias("host"), F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*[^?#]*/([0-9]+)', 1) as bigint)").alias("doc_id"))
+    shown = pages.select(host_of(url).alias("host"), F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*[^?#]*/([0-9]+)(?:[?#]|$)', 1) as bigint)").alias("doc_id"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 0)
     rated = labels.select("doc_id", bad.alias("bad")).groupBy("doc_id").agg(F.max("bad").alias("bad"))
     return shown.filter("doc_id is not null").join(rated, "doc_id").select("host", "bad")
@@ -144,7 +145,7 @@ def _sql(threshold: float = 0.5, z: float = 1.645) -> str:
     return rf"""
 WITH cut AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-    TRY_CAST(regexp_extract(url, '://[^/?#]*[^?#]*/([0-9]+)', 1) AS BIGINT) AS doc_id FROM pages),
+    TRY_CAST(regexp_extract(url, '://[^/?#]*[^?#]*/([0-9]+)(?:[?#]|$)', 1) AS BIGINT) AS doc_id FROM pages),
 named AS (SELECT DISTINCT host, list_reverse(string_split(host, '.')) AS l FROM cut),
 parts AS (SELECT host, CASE WHEN host IN ({two}) OR (len(l) > 1 AND l[2] || '.' || l[1] IN ({two})) THEN l[2] || '.' || l[1] ELSE l[1] END AS suffix,
     CASE WHEN len(l) > 2 AND l[2] || '.' || l[1] IN ({two}) THEN l[3] || '.' || l[2] || '.' || l[1] WHEN len(l) > 1 THEN l[2] || '.' || l[1] ELSE l[1] END AS domain FROM named),
