@@ -38,18 +38,16 @@ def exact_percentiles(df: DataFrame, asked: dict[str, list[float]], accuracy: in
     used = [i for i in range(len(keys)) if first[f"n_{i}"]]
     found: dict[int, float | None] = dict.fromkeys(range(len(keys)))
     if used:
-        lo, hi = ({i: first[f"e_{i}"][side] for i in used} for side in (0, 1))
-        low = [F.sum((known(keys[i][0]) < lo[i]).cast("long")).alias(f"b_{i}") for i in used]
-        below = df.agg(*low).first()
+        # values below a bracket are one group, those inside one each, those above left out
+        each = F.array(*(F.struct(F.lit(i).alias("i"), known(keys[i][0]).alias("v"), F.lit(first[f"e_{i}"][0]).alias("lo"), F.lit(first[f"e_{i}"][1]).alias("hi")) for i in used))
+        rows = df.select(F.explode(each).alias("x")).select("x.*").filter("v <= hi").groupBy("i", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).count().collect()
         for i in used:
-            c, q = keys[i]
-            inside = df.filter(known(c).between(lo[i], hi[i])).groupBy(known(c).alias("v")).count().orderBy("v").collect()
-            rank = (first[f"n_{i}"] - 1) * q
-            at, seen, values = int(rank), below[f"b_{i}"] or 0, []
-            for r in inside:
-                seen += r["count"]
-                while len(values) < 2 and seen > at + len(values):
-                    values.append(r["v"])
+            rank = (first[f"n_{i}"] - 1) * keys[i][1]
+            at, seen, values = int(rank), 0, []
+            for v, n in sorted(((r["v"], r["count"]) for r in rows if r["i"] == i), key=lambda x: (x[0] is not None, x[0])):
+                seen += n
+                while v is not None and len(values) < 2 and seen > at + len(values):
+                    values.append(v)
             found[i] = values[0] + (rank - at) * (values[1] - values[0]) if len(values) > 1 and rank > at else values[0]
     out: dict[str, list[float | None]] = {c: [] for c in asked}
     for i, (c, _) in enumerate(keys):
