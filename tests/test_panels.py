@@ -1,6 +1,7 @@
 """Edge cases of cleaning, series, universes, portfolios and sources."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,6 +201,21 @@ def test_exact_percentiles(spark):
     assert np.allclose(got["x"], np.quantile(x, [0, 0.01, 0.5, 0.99, 1])) and np.allclose(got["y"], np.quantile(y[np.arange(3000) % 3 > 0], [0.5, 0.25])) and got["n"] == [None]
 
 
+def test_percentiles_where_last_bits_change_between_passes(spark):
+    import numpy as np
+
+    began = time.time()
+    late = F.udf(lambda x: x * (1 + 1e-12 * (time.time() - began)), "double").asNondeterministic()
+    x = np.random.default_rng(3).integers(1, 9, 500).astype(float)  # many ties
+    df = spark.createDataFrame([(float(a),) for a in x], "x double").select(late("x").alias("x"))
+    assert np.allclose(clean.exact_percentiles(df, {"x": [0.01, 0.5, 1.0]})["x"], np.quantile(x, [0.01, 0.5, 1.0]))
+    z = (x - x.mean()) / x.std()
+    got = [r["x"] for r in clean.normalise(df, df, ["x"], (5, 90))[1].collect()]
+    assert np.allclose(got, np.clip(z, *np.quantile(z, [0.05, 0.9])))
+    ends = spark.createDataFrame([(v,) for v in (float("-inf"), 1.0, float("inf"))], "x double")
+    assert clean.exact_percentiles(ends, {"x": [0.0, 0.5, 1.0]})["x"] == [float("-inf"), 1.0, float("inf")]
+
+
 def test_signals_and_index_returns(spark):
     from tidewright.sources import panel
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -28,10 +29,12 @@ def exact_percentiles(df: DataFrame, asked: dict[str, list[float]], accuracy: in
     """Exact interpolated percentiles of whole columns, in two passes of bounded aggregates.
 
     A sketch of `accuracy` brackets each rank within about 2 / accuracy of the rows; the second pass counts what lies below
-    the bracket and gathers only the distinct values inside it with their counts.
+    the bracket and gathers only the distinct values inside it with their counts. Values that are sums in no fixed order may
+    differ by last bits between the passes: brackets are wider by `slack` of their ends.
     """
-    edge = 2.0 / accuracy
+    edge, slack = 2.0 / accuracy, 1e-9
     around = lambda q: F.array(*(F.lit(min(max(x, 0.0), 1.0)) for x in (q - edge, q + edge)))
+    wider = lambda end, by: end + by * abs(end) if math.isfinite(end) else end
     keys = [(c, q) for c, qs in asked.items() for q in qs]
     known = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
     first = df.agg(*(F.count(known(c)).alias(f"n_{i}") for i, (c, _) in enumerate(keys)), *(F.percentile_approx(known(c), around(q), accuracy).alias(f"e_{i}") for i, (c, q) in enumerate(keys))).first()
@@ -39,7 +42,7 @@ def exact_percentiles(df: DataFrame, asked: dict[str, list[float]], accuracy: in
     found: dict[int, float | None] = dict.fromkeys(range(len(keys)))
     if used:
         # values below a bracket are one group, those inside one each, those above left out
-        each = F.array(*(F.struct(F.lit(i).alias("i"), known(keys[i][0]).alias("v"), F.lit(first[f"e_{i}"][0]).alias("lo"), F.lit(first[f"e_{i}"][1]).alias("hi")) for i in used))
+        each = F.array(*(F.struct(F.lit(i).alias("i"), known(keys[i][0]).alias("v"), F.lit(wider(first[f"e_{i}"][0], -slack)).alias("lo"), F.lit(wider(first[f"e_{i}"][1], slack)).alias("hi")) for i in used))
         rows = df.select(F.explode(each).alias("x")).select("x.*").filter("v <= hi").groupBy("i", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).count().collect()
         for i in used:
             rank = (first[f"n_{i}"] - 1) * keys[i][1]
@@ -157,11 +160,16 @@ def split(df: DataFrame, cutoff, month: str = "month") -> tuple[DataFrame, DataF
 
 
 def normalise(train: DataFrame, test: DataFrame, columns: list[str], clip: tuple[float, float] | None = (1, 99)) -> tuple[DataFrame, DataFrame]:
-    """Both by the training mean and standard deviation (0 or NULL counts as 1), clipped to training quantiles."""
-    stats = train.agg(*(F.avg(c).alias(f"__mu_{c}") for c in columns), *(F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"__sd_{c}") for c in columns))
+    """Both by the training mean and standard deviation (0 or NULL counts as 1), clipped to training quantiles.
+
+    The statistics are taken once, as numbers: partial sums that merge in another order give other last bits, and values
+    scaled by those would miss their own brackets.
+    """
+    stats = train.agg(*(F.avg(c).alias(f"mu_{c}") for c in columns), *(F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"sd_{c}") for c in columns)).first() if columns else {}
 
     def scaled(df: DataFrame) -> DataFrame:
-        return df.crossJoin(F.broadcast(stats)).select(*(((F.col(c) - F.col(f"__mu_{c}")) / F.col(f"__sd_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns))
+        number = lambda name: F.lit(stats[name]).cast("double")
+        return df.select(*(((F.col(c) - number(f"mu_{c}")) / number(f"sd_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns))
 
     a, b = scaled(train), scaled(test)
     if clip is None:
