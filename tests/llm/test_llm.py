@@ -57,6 +57,19 @@ def test_filter_has_no_false_negatives(spark):
     assert none.count() == 0
 
 
+def test_scoring_takes_little_memory_beside_the_texts():
+    import tracemalloc
+
+    texts = pa.array([" ".join(f"w{(i * 7919 + j * 31) % 5003}" for j in range(500)) for i in range(2000)])  # over 5 MB
+    model = quality.Ordinal(20, np.ones(1 << 20, dtype=np.float32), np.array([0.0, 1.0]))
+    tracemalloc.start()
+    score = model.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6, peak
+    assert np.array_equal(score[::500], np.concatenate([model.score(texts[i : i + 1]) for i in range(0, 2000, 500)]))  # whatever runs it lies in
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 101), (7, 7), (None, 3)]
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(path, "a long, b long")).collect()}
