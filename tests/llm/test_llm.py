@@ -551,6 +551,25 @@ def test_passages_beyond_their_seeds(spark):
     assert got == {(i + 1, i) for i in range(0, 42, 2)}
 
 
+def test_passages_whose_seeds_others_hold(spark):
+    """Ten runs of four equal words in fifty, each of which an earlier document holds; and one run of ten among runs of three."""
+    rng = np.random.default_rng(6)
+    say = lambda k: [f"u{j}" for j in rng.integers(0, 10**9, k)]
+    texts, want = [], set()
+    for _ in range(5):
+        x = say(50)
+        y = [v if i % 5 != 2 else say(1)[0] for i, v in enumerate(x)]
+        texts += [say(8) + say(2) + x[j + 3 : j + 7] + say(8) for j in range(0, 45, 5)]
+        texts += [say(30) + x + say(30), say(7) + y + say(40)]
+        want.add((len(texts) - 1, len(texts) - 2))
+        x = say(50)
+        y = [say(1)[0] if i < 40 and i % 4 == 3 else v for i, v in enumerate(x)]
+        texts += [say(30) + x + say(30), say(7) + y + say(40)]
+        want.add((len(texts) - 1, len(texts) - 2))
+    got = {(r["id"], r["other_id"]) for r in substring_dedup.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()}
+    assert got == want
+
+
 def test_fuzzy_passages_against_brute_force(spark):
     """Passages of 80 to 95 % equal words, changed evenly or anywhere; brute force counts equal words on every diagonal."""
     rng = np.random.default_rng(11)
