@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tidewright.llm import decontaminate, exact_dedup, graph, html_extract, jaccard_join, kernels, packing, quality, sharding, substring_dedup, url_filter, warc
+from tidewright.llm import common, decontaminate, exact_dedup, graph, html_extract, jaccard_join, kernels, packing, quality, sharding, substring_dedup, url_filter, warc
 from tidewright.llm.common import key_filter, may_contain, settled, spread_join, stage, without
 
 DATA = "/root/testdata/sf0.001"
@@ -828,3 +829,51 @@ def test_clashing_columns_nulls_and_long_texts(spark, name):
         index = warc.write_warc(pages)
         back = warc.read_warc(index, "file:///").collect()
         assert len(back) == 8 and Counter(r["record_type"] for r in back) == Counter({"response": 7, "revisit": 1})
+
+
+def test_chains_without_a_passage_ask_for_no_words(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    some = word(24)  # a chain, but no passage of fifty words
+    texts = [" ".join(word(60) + some + word(60)) for _ in range(6)]
+    asked = []
+    kept = lambda df, name: (lambda out: (asked.append(out) if name == "asked" else None, out)[1])(common.stage(df, name))
+    monkeypatch.setattr(substring_dedup, "stage", kept)
+    assert substring_dedup.repeated_passages(documents(spark, texts)).count() == 0
+    assert asked[-1].count() == 0
+
+
+def test_bytes_drop_no_chain_with_a_passage():
+    rng = np.random.default_rng(7)
+    rows, want = [], []
+    for _ in range(400):
+        pb, pa_, n = (int(x) for x in (rng.integers(0, 90), rng.integers(0, 90), rng.integers(4, 49)))
+        x = rng.integers(0, 2**32, pb + n + int(rng.integers(0, 90)), dtype=np.uint64)
+        y = rng.integers(0, 2**32, pa_ + n + int(rng.integers(0, 90)), dtype=np.uint64)
+        left, right = min(pb, pa_), min(len(x) - pb, len(y) - pa_)
+        y[pa_ - left : pa_ + right] = np.where(rng.random(left + right) < rng.choice([0.1, 0.75, 0.8, 0.85]), x[pb - left : pb + right], y[pa_ - left : pa_ + right])
+        y[pa_ : pa_ + n] = x[pb : pb + n]
+        left, right = min(left, 64), min(right, n + 64)
+        equal = x[pb - left : pb + right] == y[pa_ - left : pa_ + right]
+        want.append(bool(substring_dedup.stretches(equal, 50, 0.8)))
+        code = lambda z, p, n=n: (z >> np.uint64(24)).astype("u1")[max(p - 64, 0) : p + n + 64].tobytes()
+        rows.append({"pb": [pb], "pa": [pa_], "n": [n], "cb": code(x, pb), "ca": code(y, pa_)})
+    got = substring_dedup.may_pass(pa.RecordBatch.from_pylist(rows), 50, 0.8, 64)
+    assert all(g for g, w in zip(got, want, strict=True) if w) and 0 < sum(want) < 300
+    assert sum(got) <= sum(want) + 20
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    files = lambda: sum("shuffle_" in str(f) for f in seq_files(spark))
+
+    def seq_files(spark):
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return [found.apply(i) for i in range(found.size())]
+
+    old, before = spark.conf.get(common._CLEANUP, None), files()
+    kept = common.stage(spark.range(10_000).groupBy(F.pmod("id", F.lit(100)).alias("x")).count(), "few")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and kept.count() == 100 and spark.conf.get(common._CLEANUP, None) == old
