@@ -831,6 +831,30 @@ def test_clashing_columns_nulls_and_long_texts(spark, name):
         assert len(back) == 8 and Counter(r["record_type"] for r in back) == Counter({"response": 7, "revisit": 1})
 
 
+def test_few_edges_are_joined_by_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 4000, (3000, 2))] + [(5000 + i, 5001 + i) for i in range(500)] + [(9000, 9000), (None, 1)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    made: list[str] = []
+    monkeypatch.setattr(graph, "stage", lambda df, name: made.append(name) or common.stage(df, name))
+    got = {r["id"]: r["component"] for r in graph.components(df).collect()}
+    assert len(made) <= 5  # every further round is planned by the driver
+    root = {x: x for e in edges if None not in e for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in root}
+    monkeypatch.setattr(graph, "LAST_EDGES", 40)
+    assert {r["id"]: r["component"] for r in graph.components(df).collect()} == got
+
+
 def test_chains_without_a_passage_ask_for_no_words(spark, monkeypatch):
     rng = np.random.default_rng(6)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
