@@ -1,9 +1,12 @@
 """The training-data operators against brute force, and on nulls, ties, repeated rows, empty tables and odd columns."""
 
+import contextlib
 import gzip
 import hashlib
+import os
 import re
 import string
+import threading
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -901,3 +904,69 @@ def test_staging_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert files() <= before and kept.count() == 100 and spark.conf.get(common._CLEANUP, None) == old
+
+
+def test_seeds_on_disk_are_those_of_one_turn(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    some = word(80)
+    texts = [" ".join(word(3000) + (some if i in (3, 60, 99) else [])) for i in range(120)]
+    n_words = sum(len(t.split()) for t in texts)
+    docs = common.stage(documents(spark, texts), "texts")
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    done, seen = threading.Event(), []
+
+    def sizes():
+        for top in dirs:
+            for where, _, names in os.walk(top):
+                for name in names:
+                    with contextlib.suppress(FileNotFoundError):
+                        yield os.path.getsize(f"{where}/{name}") if name.startswith("shuffle_") else 0
+
+    def watch():
+        while not done.is_set():
+            seen.append(sum(sizes()))
+            time.sleep(0.02)
+
+    floor, watcher = sum(sizes()), threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = substring_dedup.repeated_passages(docs, per_fragment=20_000).collect()
+    finally:
+        done.set()
+        watcher.join()
+    assert {frozenset((r["id"], r["other_id"])) for r in got} == {frozenset(x) for x in ((3, 60), (3, 99), (60, 99))} and {(r["start"], r["end"]) for r in got} == {(3000, 3080)}
+    assert n_words < max(seen) - floor < 3.5 * n_words  # a seed has four bytes and its place, so all have more than four a word
+
+
+def test_turns_give_the_same_passages(spark):
+    rng = np.random.default_rng(9)
+    some = [[f"w{x}" for x in rng.integers(0, 10**6, 70)] for _ in range(5)]
+    texts = [" ".join([f"w{x}" for x in rng.integers(0, 300, 100)] + some[i % 5] + [f"w{x}" for x in rng.integers(0, 300, 60)]) for i in range(40)]
+    docs = documents(spark, texts)
+    one, two, five = (sorted(map(tuple, substring_dedup.repeated_passages(docs, per_fragment=400, turns=n).collect())) for n in (1, 2, 5))
+    assert len(one) >= 35 and one == two == five
+
+
+def test_word_hashes_are_sums_over_a_word_alone():
+    texts = pa.array(["", "Some  words,\tsome", None, " ", "\u00e9t\u00e9 x" * 60_000, "q" * 300_000 + " Some"])
+    base, wrap, seen = int(kernels._BASE), (1 << 64) - 1, {}
+    for _, data, offsets in kernels.parts(texts):
+        for h, text, a, b in zip(*kernels.words(data, offsets, kernels.WHITE), strict=True):
+            word = bytes(data[a:b]).lower()
+            assert offsets[text] <= a < b <= offsets[text + 1] and not set(word) & set(b" \t")
+            if seen.setdefault(word, h) is h:
+                total, power = 0, base
+                for x in word:
+                    total, power = total + int(kernels._VALUE[x]) * power & wrap, power * base & wrap
+                assert kernels.mix(np.array([total + len(word) * base & wrap], np.uint64))[0] == h
+            assert seen[word] == h
+    assert {b"some", b"words,", b"q" * 300_000} <= set(seen)
+
+
+def test_nested_scratch_lists_are_told_apart(spark):
+    with common.scratch() as outer:
+        with common.scratch():
+            first = common.fresh_path(spark, "x")
+        second = common.fresh_path(spark, "y")
+    assert outer == [first, second]
